@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Scratch
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) edges with the components of the edges u-v."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for x in (a, b):
+            np.minimum.at(root, before[x], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root[a] == root[b]).all():
+            break
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """Edges with their first node's least neighbour beside them.
 

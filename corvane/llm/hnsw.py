@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .store import Scratch
 from .textnum import mix
 
@@ -154,7 +154,9 @@ class Graph:
             near = np.argpartition(-inner, k - 1, axis=1)[:, :k]
             cand, sims = new[near], np.take_along_axis(inner, near, 1)
             if at:
-                ids, s = self.beam(layer, q, self.enter(q, layer) if layer + 1 < len(self.links) else np.zeros((size, 1), np.int64), BUILD_BEAM, at)
+                # the layers above hold the first nodes; while those are inserted, searches start at node 0
+                above = layer + 1 < len(self.links) and at >= len(self.links[layer + 1])
+                ids, s = self.beam(layer, q, self.enter(q, layer) if above else np.zeros((size, 1), np.int64), BUILD_BEAM, at)
                 cand, sims = np.concatenate((ids, cand), axis=1), np.concatenate((s, sims), axis=1)
             cand = np.where(np.isfinite(sims), cand, -1)
             order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
@@ -189,27 +191,6 @@ class Graph:
                 links[some[~fits]] = _select(self.vectors, wide[~fits], sims[~fits], most)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) edges with the components of the edges u-v."""
-    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        for x in (a, b):
-            np.minimum.at(root, before[x], low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        if (root[a] == root[b]).all():
-            break
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 _GRAPH = "shard long, payload binary"
 
 

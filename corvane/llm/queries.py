@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from . import chat, hnsw, katz, license, minhash, mixing, pii, quality, sentencepiece_np
+from . import chat, hnsw, katz, license, minhash, mixing, pii, quality, repeats, sentencepiece_np
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 
@@ -47,6 +47,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_formatting, op2_license_scan, op3_katz_scoring, op4_temperature_mixing, op5_sentencepiece, op6_embedding_near_dedup, op7_pii, op9_minhash_near_dedup, op10_quality_rules)
+    every = (op1_chat_formatting, op2_license_scan, op3_katz_scoring, op4_temperature_mixing, op5_sentencepiece, op6_embedding_near_dedup, op7_pii, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_quality_rules)
     return {f.__name__: f for f in every}
 
 
