@@ -8,10 +8,11 @@ At a similarity of exactly 0.75 a pair shares none of the 40 bands with a
 probability of (1 - 0.75**4)**40, about 3e-7.
 
 Documents with equal shingle sets are collapsed first, so thousands of copies are
-one row in all that follows.  In a bucket, members are compared with one centre;
-only members of buckets that this leaves in several components are compared with
-each other, in blocks, and only pairs whose signatures agree often enough are
-confirmed.  No bucket is capped.
+one row in all that follows.  In a bucket, members are compared with one centre by
+their signatures, and only in buckets that this leaves in several clusters all
+members are compared, in blocks.  Clusters hold what may be similar; inside them the full
+sets are compared, again in blocks.  A task sends a spanning forest of the links
+it found, never the pairs of a group.  No bucket or cluster is capped.
 
 Cases: null text and text without words have no shingles and no links; texts of
 fewer than five words have their whole sequence as one shingle; repeated rows are
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .store import Scratch
 from .textnum import Words, mix, pieces, shingles
 
@@ -39,6 +40,7 @@ PERCENT = 75
 #: A pair at 0.75 agrees in fewer of its 160 values than this with a probability of about 5e-6.
 LEAST_AGREEMENT = 96
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(0x3A9)
 _XOR = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -84,14 +86,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures and sizes allow the similarity, with the number of equal values."""
+    """Pairs whose signatures and sizes allow the similarity."""
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             p = b.slice(at, 2048)
             x, y = (np.frombuffer(b"".join(p.column(c).to_pylist()), dtype=np.uint32).reshape(p.num_rows, -1) for c in (2, 3))
             same = (x == y).sum(axis=1)
             keep = same >= LEAST_AGREEMENT
-            yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(keep)), p.column(1).filter(pa.array(keep)), pa.array(same[keep].astype(np.int64))], names=["u", "v", "same"])
+            yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(keep)), p.column(1).filter(pa.array(keep))], names=["u", "v"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +101,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, h = shingles(Words(buf, offs, lower=True))
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1)) * 8
         raw = h.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[cut[i] : cut[i + 1]] for i in range(batch.num_rows)], pa.binary())], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[cut[i] : cut[i + 1]] for i in range(batch.num_rows)], pa.binary())], names=["rep", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column(2), b.column(3)
-        keep = np.zeros(b.num_rows, dtype=bool)
-        for i in range(b.num_rows):
-            p, q = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (x, y))
-            both = np.concatenate((p, q))
-            both.sort(kind="stable")  # two sorted runs
-            common = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * common >= PERCENT * (len(both) - common)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["u", "v"])
+def _sets_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all members of some sets."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+
+def common(row: np.ndarray, h: np.ndarray, n: int, width: int = 2048) -> np.ndarray:
+    """Sizes of all pairs' intersections, n x n, from (row, hash) of distinct members.
+
+    Members of one set only are dropped; the others are columns of 0-1 matrices,
+    taken some at a time, whose products add up.
+    """
+    order = np.argsort(h, kind="stable")
+    row, h = row[order], h[order]
+    head = np.concatenate(([True], h[1:] != h[:-1]))
+    column = np.cumsum(head) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    out = np.zeros((n, n), dtype=np.float32)
+    if not len(column):
+        return out
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
+    cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, width))
+    for a, b in zip(cuts, [*cuts[1:], len(column)], strict=True):
+        m = np.zeros((n, width), dtype=np.float32)
+        m[row[a:b], column[a:b] - column[a]] = 1
+        out += m @ m.T
+    return out
+
+
+def _verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links among the documents of two blocks of a cluster."""
+    ids = pdf.rep.to_numpy(np.int64)
+    row, h = _sets_of(pdf.shingles.tolist())
+    size = np.bincount(row, minlength=len(ids))
+    both = common(row, h, len(ids))
+    a, b = np.nonzero(np.tril(100 * both >= PERCENT * (size[:, None] + size[None, :] - both), -1))
+    u, v = forest(ids[a], ids[b]) if len(a) else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"u": u, "v": v})
 
 
 def _cross(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket that lie in different components and may be similar."""
+    """A spanning forest of the pairs of two blocks of a bucket that lie in different clusters and may be similar."""
     left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
     same_block = key[1] == key[2]
     if same_block:
@@ -132,7 +162,15 @@ def _cross(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 may = may[same >= LEAST_AGREEMENT]
                 us.append(np.maximum(yid[may], rep))
                 vs.append(np.minimum(yid[may], rep))
-    return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+    u, v = forest(np.concatenate(us), np.concatenate(vs)) if us and sum(map(len, us)) else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _in_blocks(member: DataFrame, *more: str) -> DataFrame:
+    """Members (bucket, rep, blocks, ...) dealt to the pairs (i, j) of their bucket's blocks."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return member.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", *more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -148,51 +186,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.put(bands.join(shared, "bucket"), "buckets")
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    state = {"sets": None, "known": None, "links": None}
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow a link."""
-        a = pairs.join(sig.toDF("u", "nu", "su"), "u").join(sig.toDF("v", "nv", "sv"), "v")
-        a = a.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-        return a.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long, same long")
-
-    def confirm(pairs: DataFrame, name: str) -> None:
-        """Adds the pairs that the full sets confirm to the links; remembers all as tried."""
-        pairs = scratch.put(pairs.select("u", "v"), f"{name}-pairs")
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        sets = scratch.put(text.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary"), f"{name}-sets", "none")
-        joined = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
-        links = scratch.put(joined.mapInArrow(_confirm, "u long, v long"), f"{name}-links")
-        scratch.drop(sets)
-        state["links"] = links if state["links"] is None else state["links"].unionAll(links)
-        state["known"] = pairs if state["known"] is None else state["known"].unionAll(pairs)
-
-    def settle() -> DataFrame:
-        return scratch.put(components(spark, state["links"], scratch), "components")
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        c = pairs.join(comp.toDF("u", "cu"), "u", "left").join(comp.toDF("v", "cv"), "v", "left")
-        return c.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-
-    # every document against the best of its buckets' centres, then against the others
-    stars = scratch.put(candidates(buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()), "stars")
-    confirm(stars.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")), "first")
-    comp = settle()
-    confirm(apart(stars.join(state["known"], ["u", "v"], "left_anti"), comp), "second")
-    comp = settle()
-    # what is left: buckets with several components, member against member
-    member = buckets.select("bucket", "rep").join(comp.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # every member against its bucket's centre, by signatures
+    pairs = buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
+    pairs = pairs.join(sig.toDF("u", "nu", "su"), "u").join(sig.toDF("v", "nv", "sv"), "v").where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
+    stars = scratch.put(pairs.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long"), "stars")
+    cluster = scratch.put(components(spark, stars, scratch), "clusters")
+    # buckets that hold several clusters: member against member
+    member = buckets.select("bucket", "rep").join(cluster.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
     member = member.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "component")
-    member = member.join(sig.toDF("rep", "n_shingles", "signature"), "rep")
-    crossed = member.groupBy("bucket", "i", "j").applyInPandas(_cross, "u long, v long").distinct()
-    confirm(crossed.join(state["known"], ["u", "v"], "left_anti"), "third")
-    comp = settle()
+    member = _in_blocks(member, "component").join(sig.toDF("rep", "n_shingles", "signature"), "rep")
+    crossed = scratch.put(member.groupBy("bucket", "i", "j").applyInPandas(_cross, "u long, v long"), "crossed")
+    cluster = scratch.put(components(spark, stars.unionAll(crossed), scratch), "clusters").toDF("rep", "bucket")
+
+    # inside clusters: the full sets
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sets = text.join(cluster, "rep").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets, "rep long, shingles binary")
+    sized = cluster.join(sig.select(F.col("id").alias("rep"), "n_shingles"), "rep")
+    blocks = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = _in_blocks(cluster.join(blocks, "bucket"))
+    links = placed.join(sets, "rep").groupBy("bucket", "i", "j").applyInPandas(_verify, "u long, v long")
+    comp = components(spark, scratch.put(links, "links"), scratch)
 
     rep_of = reps.select("set_hash", "n_shingles", "rep").join(comp.toDF("rep", "component"), "rep", "left").select("set_hash", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = all_docs.select("doc_id", "n_shingles", "set_hash").join(rep_of, ["set_hash", "n_shingles"], "left")
