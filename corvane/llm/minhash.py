@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .store import Scratch
+from .store import Scratch, unpack_row, with_row
 from .textnum import Words, mix, pieces, shingles
 
 PERMUTATIONS = 80
@@ -217,8 +217,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns of ``docs``.
 
-    Repeated rows of one id leave one row.
+    Of equal rows (id and text) one stays.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    unique = docs.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
-    return unique.join(kept, unique["doc_id"].cast("long").eqNullSafe(F.col("_id"))).select(*[unique[c] for c in docs.columns])
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = with_row(docs, own=F.col("doc_id").cast("long"), digest=F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    # few ids repeat, if any: only their rows are compared
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    same = F.col("own").eqNullSafe(F.col("id"))
+    once = rows.join(again, same, "left_anti").unionAll(rows.join(again, same, "left_semi").dropDuplicates(["own", "digest"]))
+    return unpack_row(once, docs)

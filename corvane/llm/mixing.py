@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, unpack_row, with_row
 
 ENTROPY = 0.9
 REPEATS = 4.0
@@ -68,11 +68,14 @@ def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     return row.select(F.round(F.coalesce(tau, F.lit(1.0)), 6).alias("tau"))
 
 
+def _digest() -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens, digest) of every document; digest: 32 bits of its id's MD5."""
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     tokens = F.size(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD), F.lit(0))).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), tokens.alias("n_tokens"), digest.alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), tokens.alias("n_tokens"), _digest().alias("digest"))
 
 
 def block_plan(docs: DataFrame, scratch: Scratch, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,19 +121,16 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
     """The mixture's documents with the columns of ``docs``; a document of n passes is n rows."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sources, _, plan = block_plan(docs, scratch, **targets)
-    copies = plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("_copies"))
-    copies = copies.join(sources.select("source", "blocks"), "source").select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("blocks").alias("_blocks"), "_copies")
+    copies = plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("copies"))
     if plan.count() <= BROADCAST_ROWS:
         copies, by_source = F.broadcast(copies), F.broadcast(sources)
     else:
         by_source = sources
-    by_source = by_source.select(F.col("source").alias("_s"), F.col("blocks").alias("_n"))
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    named = docs.join(by_source, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_s"))
-    out = named.withColumn("_b", digest % F.col("_n"))
-    out = out.join(copies, (F.col("_s") == F.col("_source")) & (F.col("_b") == F.col("_block")))
-    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    by_source = by_source.select(F.col("source").alias("s"), F.col("blocks").alias("n"))
+    rows = with_row(docs, digest=_digest(), own=F.coalesce(F.col("source").cast("string"), F.lit("")))
+    out = rows.join(by_source, F.col("own") == F.col("s")).withColumn("b", F.col("digest") % F.col("n"))
+    out = out.join(copies, (F.col("own") == F.col("source")) & (F.col("b") == F.col("block")))
+    return unpack_row(out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 ORACLE_SQL = rf"""

@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import unpack_row, with_row
+
 CONTEXT = 50
 THRESHOLD = 0.5
 _LOCAL = "A-Za-z0-9._%+-"
@@ -146,9 +148,9 @@ def pii_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``n_chars`` follows.
 
-    Spans that overlap become one, named after the first.
+    Spans that overlap become one, named after the first.  Null text stays null.
     """
-    found = find_spans(docs)
+    found = find_spans(with_row(docs, text=F.col("text").cast("string")))
     every = F.concat(*[F.col(f"_{k.name}") for k in KINDS])
     spans = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = "struct<done:array<struct<start:int,end:int,kind:string>>,start:int,end:int,kind:string>"
@@ -167,12 +169,6 @@ def redact(docs: DataFrame) -> DataFrame:
     piece = F.zip_with(F.slice(cut, F.lit(1), F.size(cut) - 1), F.slice(cut, F.lit(2), F.size(cut) - 1), lambda a, b: F.concat(F.col("text").substr(F.greatest(a["end"], F.lit(0)) + 1, b["start"] - F.greatest(a["end"], F.lit(0))), F.lit("["), F.upper(b["kind"]), F.lit("]")))
     tail = F.col("text").substr(F.element_at(cut, -1)["end"] + 1, F.length("text"))
     clean = F.when(cut.isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(clean.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(cut.isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema[c].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    changed = cut.isNotNull()
+    n_chars = F.when(changed, F.length(clean)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else F.lit(None)
+    return unpack_row(out, docs, text=F.when(changed, clean).otherwise(F.col("row").getField("text")), n_chars=n_chars)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, unpack_row, with_row
 from .textnum import GRAM, Words, grams, mix, pieces, powers
 
 MIN_WORDS = 10
@@ -146,18 +146,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, without the removed lines; same columns as ``docs``.
 
-    ``n_chars`` follows the shortened text.
+    ``n_chars`` follows the shortened text.  Rows of one id share their fate: they
+    stay if one of them passes.
     """
-    v = verdicts(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("places").alias("_places")).distinct()
-    out = docs.join(v, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_places"), i.cast("int"))), "\n")
-    out = out.withColumn("_text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    v = verdicts(docs).where("kept").select(F.col("doc_id").alias("id"), "places").distinct()
+    rows = with_row(docs, own=F.col("doc_id").cast("long"), body=F.col("text").cast("string"))
+    out = rows.join(v, F.col("own").eqNullSafe(F.col("id")))
+    kept = F.array_join(F.filter(F.split("body", "\n"), lambda _, i: ~F.array_contains(F.col("places"), i.cast("int"))), "\n")
+    text = F.when(F.col("places").isNull(), F.col("body")).otherwise(kept)
+    n_chars = F.when(F.col("places").isNull(), F.col("row").getField("n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else F.lit(None)
+    return unpack_row(out, docs, text=text, n_chars=n_chars)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -51,3 +52,17 @@ class Scratch:
         for f in frames:
             at = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
             at.getFileSystem(conf).delete(at, True)
+
+
+def with_row(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row whole, as a struct ``row``, beside some columns; so names of the table's own columns can't clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpack_row(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``like`` from ``row``, some of them replaced, in their old types."""
+    out = []
+    for f in like.schema.fields:
+        c = replaced[f.name].cast(f.dataType) if f.name in replaced else F.col("row").getField(f.name)
+        out.append(c.alias(f.name))
+    return df.select(*out)
