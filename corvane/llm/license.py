@@ -80,7 +80,9 @@ def license_matches(docs: DataFrame, dice: float = DICE) -> DataFrame:
     units = units.select("doc_id", "unit_no", words.alias("w"))
     # repeats only lower the number of distinct bigrams, so just the lower bound prunes by words
     units = units.where(F.size("w") - 1 >= least)
-    grams = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    # the filter above may run after this, so no length may be negative
+    pairs = F.greatest(F.size("w") - 1, F.lit(0))
+    grams = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), pairs), F.slice("w", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)))
     units = units.select("doc_id", "unit_no", grams.alias("g")).where(F.size("g").between(int(least), most))
     units = units.where(F.arrays_overlap("g", F.array(*[F.lit(g) for g in union])))
     fits = F.expr(f"filter({_literal(dice)}, t -> size(g) >= t.low AND size(g) <= t.high)")
