@@ -67,13 +67,16 @@ def kernel(op: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def arrow_distance(v: Column, op: str, q: list[float]) -> Column:
     query = np.asarray(q, dtype=np.float64)
+    # a registered kernel travels with the function; executors have no registry
+    own = _EXTRA.get(op)
 
     @F.pandas_udf("double")
     def run(vectors: pd.Series) -> pd.Series:
         fits = vectors.map(lambda a: a is not None and len(a) == len(query)).to_numpy(dtype=bool)
         out = np.full(len(vectors), np.nan)
         if fits.any():
-            out[fits] = kernel(op, np.stack(vectors[fits].to_list()).astype(np.float64), query)
+            x = np.stack(vectors[fits].to_list()).astype(np.float64)
+            out[fits] = own(x, query) if own else kernel(op, x, query)
         return pd.Series(out).where(pd.Series(fits), None)
 
     return run(v)
