@@ -24,6 +24,7 @@ from .predicates import Compiler
 class SelectPlan:
     def __init__(self, collection, param: Callable[[t.Param], object]):
         self.c, self.param = collection, param
+        self.made: dict[t.Distance, str] = {}
         self.compile = Compiler(collection.resolve, param)
 
     def vector(self, p: t.Param) -> list[float]:
@@ -33,8 +34,24 @@ class SelectPlan:
         return self.c.check_query(v) if hasattr(self.c, "check_query") else values.check_vector(v)
 
     def distance(self, d: t.Distance) -> Column:
+        if d in self.made:
+            return F.col(self.made[d])
         return distance(self.c.embedding, d.op, self.vector(d.query))
 
+    def measured(self, rows: DataFrame, q: BoundSelect) -> DataFrame:
+        """``rows`` with a column for each distance that the statement names, so that it is worked out once a row.
+
+        Vectors of another length (or none) have no distance and drop out.
+        """
+        named = [x.what for x in (*q.order, *q.items) if isinstance(x.what, t.Distance)] + [w.distance for w in q.within]
+        for d in dict.fromkeys(named):
+            column = self.distance(d)
+            if any(o.what == d for o in q.order):
+                rows = rows.where(F.size(self.c.embedding) == len(self.vector(d.query)))
+            rows = rows.withColumn(name := f"__distance_{len(self.made)}", column)
+            self.made[d] = name
+        return rows
+
     def within(self, w: tuple[t.Threshold, ...]) -> Column:
         out = F.lit(True)
         for x in w:
@@ -96,13 +113,10 @@ class SelectPlan:
             rows = self.filtered(q.where)
             rows = rows.where(self.within(q.within)) if q.within else rows
             return rows.agg(F.count("*").alias(q.count_as))
-        rows = self.filtered(q.where)
+        rows = self.measured(self.filtered(q.where), q)
         if q.within:
             rows = rows.where(self.within(q.within))
         keys = [k for o in q.order for k in self._keys(o)]
-        for o in q.order:
-            if isinstance(o.what, t.Distance):
-                rows = rows.where(self.distance(o.what).isNotNull())
         if not q.order and q.within:
             keys = [self.distance(q.within[0].distance).asc()]
         if keys:
