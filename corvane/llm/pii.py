@@ -102,7 +102,7 @@ def _spans(kind: Kind) -> Column:
     )
     found = F.zip_with(F.col("_m"), ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
     checked = F.filter(found, lambda s: _valid(kind.name, s["match"]))
-    words = rf"(?i)\b(?:{kind.context})"
+    words = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{kind.context})"
 
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - CONTEXT, F.lit(0))
