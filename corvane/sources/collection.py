@@ -26,6 +26,7 @@ from ..operators import indexes
 from ..operators.stats import collect_stats
 from ..plans.fields import BagFields, DeclaredFields, Field, declared
 from .log import Log
+from .scratch import scratch_folder
 
 STORED = f"{values.ROW}, deleted boolean, at bigint"
 
@@ -109,6 +110,16 @@ class Collection:
                 raise DimensionMismatch(f"the collection has {self.state.dim} dimensions, not {dim}")
             self.state.dim = dim
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Collection:
+        """The collection at ``path`` as its log says."""
+        return cls(spark, path)
+
+    @classmethod
+    def in_memory(cls, spark: SparkSession, dim: int | None = None) -> Collection:
+        """A collection nobody else knows of, in a scratch folder."""
+        return cls(spark, scratch_folder(spark, "collection"), dim)
+
     # ---- reading -------------------------------------------------------------------------------
 
     def refresh(self) -> None:
@@ -171,6 +182,11 @@ class Collection:
         got = self.rows().where(F.col("id") == id).select("metadata").first()
         return values.decode_bag(got["metadata"]) if got else None
 
+    def with_metadata(self, id: int, use):
+        """``use`` of the bag of ``id``, or None if there is none."""
+        bag = self.get_metadata(id)
+        return None if bag is None else use(bag)
+
     def scan_metadata(self, predicate: Column) -> DataFrame:
         return self.rows().where(predicate).select("id")
 
