@@ -27,6 +27,7 @@ further columns do not matter.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -38,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, release
 from .textnum import Words, mix, pieces
 
 CUTOFF = 5
 HOT_SHARE = 1000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 BLOCK_DOCS = 1 << 16
 FOLDS = 10
 
@@ -52,8 +53,16 @@ END = np.uint64(0xE4D1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays as compressed bytes: ascending integers as gaps, integers by planes of equal weight."""
+    heads, parts = [], []
+    for a in arrays:
+        gaps = a.dtype.kind in "iu" and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        heads.append(f"{a.dtype.str},{len(a)},{int(gaps)}")
+        if gaps:
+            a = np.concatenate((a[:1], a[1:] - a[:-1]))
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) and a.dtype.kind in "iu" else a.tobytes())
+    head = ";".join(heads).encode()
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(parts), 1)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -61,13 +70,30 @@ def unpack(data: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
     out, at = [], 4 + n
     for item in raw[4 : 4 + n].decode().split(";"):
-        kind, size = item.split(",")
-        a = np.frombuffer(raw, dtype=kind, count=int(size), offset=at)
+        kind, size, gaps = item.split(",")
+        kind, size = np.dtype(kind), int(size)
+        if not size:
+            a = np.zeros(0, kind)
+        elif kind.kind in "iu":
+            planes = np.frombuffer(raw, dtype=np.uint8, count=size * kind.itemsize, offset=at).reshape(kind.itemsize, size)
+            a = np.ascontiguousarray(planes.T).view(kind).reshape(size)
+            if gaps == "1":
+                a = np.cumsum(a, dtype=kind)
+        else:
+            a = np.frombuffer(raw, dtype=kind, count=size, offset=at)
         out.append(a)
-        at += a.nbytes
+        at += size * kind.itemsize
     return out
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as a worker is used for many groups; where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == 0
 
@@ -132,27 +158,33 @@ def _events(hot: np.ndarray, parts: int):
             held = np.array([held_out(i) for i in ids])
             known = np.array([i is not None for i in ids])
             rows = [(-1 - block, block, pack(np.array([i or 0 for i in ids], np.int64), known, held, n_tokens.astype(np.int64)))]
-            doc = np.repeat(np.arange(len(ids)), n_tokens)
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_tokens)
             h = np.empty_like(w)
             h[1:] = w[:-1]
             h[_runs(doc)] = START
             part = _part(h, w, hot, parts)
             order = np.argsort(mix(h * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(24) | part.astype(np.uint64) << np.uint64(40), kind="stable")
             h, w, doc, part = h[order], w[order], doc[order], part[order]
+            del order
             entry = np.flatnonzero(_runs(part, h, w, doc))
             times = np.diff(np.append(entry, len(w)))
             h, w, doc, part = h[entry], w[entry], doc[entry], part[entry]
             pair = np.flatnonzero(_runs(part, h, w))
             docs_of = np.diff(np.append(pair, len(w)))
             train = np.add.reduceat(np.where(held[doc], 0, times), pair)
-            for p in range(parts):
-                a, b = np.searchsorted(part[pair], [p, p + 1])
-                if a < b:
-                    e0, e1 = pair[a], pair[b] if b < len(pair) else len(w)
-                    uh, ih = np.unique(h[pair[a:b]], return_inverse=True)
-                    uw, iw = np.unique(w[pair[a:b]], return_inverse=True)
-                    rows.append((p, block, pack(uh, ih.astype(np.uint32), uw, iw.astype(np.uint32), train[a:b].astype(np.uint32), docs_of[a:b].astype(np.uint32), doc[e0:e1].astype(np.uint16), times[e0:e1].astype(np.uint32))))
+            cuts = np.searchsorted(part[pair], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                a, b = cuts[p], cuts[p + 1]
+                uh, ih = np.unique(h[pair[a:b]], return_inverse=True)
+                uw, iw = np.unique(w[pair[a:b]], return_inverse=True)
+                # pairs in order of (history, word): small gaps to store
+                place = ih.astype(np.int64) * len(uw) + iw
+                order = np.argsort(place)
+                at = _spread(pair[a:b][order], docs_of[a:b][order])
+                rows.append((int(p), block, pack(uh, uw, place[order], train[a:b][order].astype(np.uint32), docs_of[a:b][order].astype(np.uint32), doc[at].astype(np.uint16), times[at].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "block", "payload"])
+            del rows, h, w, doc, part, entry, times, pair, docs_of, train
+            _give_back()
 
     return run
 
@@ -162,61 +194,102 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 _ROW = "kind int, p long, q long, payload binary"
-MERGED, ASK, ANSWER, PAIR_STATS, WORD_STATS, WORDS, DOCS = range(7)
+MERGED, ASK, ANSWER, PAIR_STATS, WORD_STATS, WORDS, DOCS, HOT_PAIRS, HOT_WORDS = range(9)
+
+
+def _bins(group: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """By group, what discounted sums follow from: the number of counts 1 to CUTOFF, and the sum of larger ones."""
+    out = np.zeros((n, CUTOFF + 1), dtype=np.int64)
+    for r in range(1, CUTOFF + 1):
+        out[:, r - 1] = np.bincount(group[c == r], minlength=n)
+    out[:, CUTOFF] = np.bincount(group[c > CUTOFF], weights=c[c > CUTOFF], minlength=n).astype(np.int64)
+    return out
 
 
-def _merge(parts: int):
+def _merge(parts: int, hot: np.ndarray):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(key[0])
         if p < 0:  # the documents of a block
             return _frame([(DOCS, p, int(b), x) for b, x in zip(pdf.block, pdf.payload, strict=True)])
+        pdf = pdf.sort_values("block")
+        blocks, data = pdf.block.to_numpy(np.int64), pdf.payload.tolist()
+        del pdf
         hs, ws, trains, ndocs, entries, times = [], [], [], [], [], []
-        for block, data in zip(pdf.block, pdf.payload, strict=True):
-            uh, ih, uw, iw, train, n, doc, t = unpack(data)
-            hs.append(uh[ih])
-            ws.append(uw[iw])
+        for i in range(len(data)):
+            uh, uw, place, train, n, doc, t = unpack(data[i])
+            data[i] = None
+            hs.append(uh[place // len(uw)])
+            ws.append(uw[place % len(uw)])
             trains.append(train)
             ndocs.append(n)
-            entries.append(doc.astype(np.int64) + block * BLOCK_DOCS)
+            entries.append(doc.astype(np.int64) + i * BLOCK_DOCS)
             times.append(t)
-        h, w, train, n, entry, t = (np.concatenate(x) for x in (hs, ws, trains, ndocs, entries, times))
-        del hs, ws, trains, ndocs, entries, times
+        h, w = np.concatenate(hs), np.concatenate(ws)
+        del hs, ws
+        train, n, entry, t = (np.concatenate(x) for x in (trains, ndocs, entries, times))
+        del trains, ndocs, entries, times
         order = np.lexsort((w, h))
         starts = (np.cumsum(n, dtype=np.int64) - n)[order]
         h, w, train, n = h[order], w[order], train[order], n[order].astype(np.int64)
         at = _spread(starts, n)
+        del order, starts
         entry, t = entry[at], t[at]
+        del at
         pair = np.flatnonzero(_runs(h, w))
         count = np.add.reduceat(train.astype(np.int64), pair)
         n = np.add.reduceat(n, pair)
         h, w = h[pair], w[pair]
         heads = np.flatnonzero(_runs(h))
+        uh = h[heads]
+        ih = np.cumsum(_runs(h)) - 1
         uw, iw = np.unique(w, return_inverse=True)
-        rows = [(MERGED, p, -1, pack(h[heads], np.diff(np.append(heads, len(h))).astype(np.uint32), uw, iw.astype(np.uint32), count.astype(np.uint32), n.astype(np.uint32), entry, t))]
+        docs, entry = np.unique(entry, return_inverse=True)
+        docs = blocks[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS
+        rows = [(MERGED, p, -1, pack(uh, uw, ih * len(uw) + iw, count.astype(np.uint32), n.astype(np.uint32), docs, entry.astype(np.uint32), t))]
         ours = np.bincount(iw, weights=count, minlength=len(uw)).astype(np.int64)
+        # pairs after a hot history: its sums are spread over the partitions
+        at = np.minimum(np.searchsorted(hot, uh), len(hot) - 1)
+        at = np.where(hot[at] == uh, at, -1)[ih]
+        seen = (at >= 0) & (count > 0)
+        some, which = at[seen], iw[seen]
         q = (uw % np.uint64(parts)).astype(np.int64)
+        own = q[which]
         for x in np.unique(q):
-            rows.append((ASK, p, int(x), pack(uw[q == x], ours[q == x])))
+            mine = np.flatnonzero(q == x)
+            of = own == x
+            rows.append((ASK, p, int(x), pack(uw[mine], ours[mine], some[of].astype(np.uint16), np.searchsorted(mine, which[of]).astype(np.uint32))))
+        if len(some):
+            bins = _bins(some, count[seen], len(hot))
+            have = np.flatnonzero(bins.any(axis=1))
+            rows.append((HOT_PAIRS, p, -1, pack(have, bins[have].ravel())))
         rows.append((PAIR_STATS, p, -1, pack(np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2].astype(np.int64))))
+        del h, w, train, n, entry, t, count, pair, ih, iw, docs
+        _give_back()
         return _frame(rows)
 
     return run
 
 
-def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    asked = [unpack(x) for x in pdf.payload]
-    uw, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]).astype(np.float64), minlength=len(uw)).astype(np.int64)
-    rows, begin = [], 0
-    for p, a in zip(pdf.p, asked, strict=True):
-        n = len(a[0])
-        rows.append((ANSWER, int(p), int(key[0]), pack(total[at[begin : begin + n]].astype(np.uint32 if total.max() < 2**32 else np.uint64))))
-        begin += n
-    some = total[total > 0]
-    stats = np.bincount(np.minimum(some, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
-    rows.append((WORD_STATS, -1, int(key[0]), pack(np.append(stats, [some.sum(), len(some)]).astype(np.int64))))
-    rows.append((WORDS, -1, int(key[0]), pack(uw[total > 0], some)))
-    return _frame(rows)
+def _totals(hot: np.ndarray):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack(x) for x in pdf.payload]
+        uw, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]).astype(np.float64), minlength=len(uw)).astype(np.int64)
+        rows, begin, bins = [], 0, np.zeros((len(hot), CUTOFF + 1), dtype=np.int64)
+        for p, a in zip(pdf.p, asked, strict=True):
+            mine = total[at[begin : begin + len(a[0])]]
+            rows.append((ANSWER, int(p), int(key[0]), pack(mine.astype(np.uint32 if total.max() < 2**32 else np.uint64))))
+            bins += _bins(a[2].astype(np.int64), mine[a[3]], len(hot))
+            begin += len(a[0])
+        have = np.flatnonzero(bins.any(axis=1))
+        rows.append((HOT_WORDS, -1, int(key[0]), pack(have, bins[have].ravel())))
+        some = total[total > 0]
+        stats = np.bincount(np.minimum(some, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
+        rows.append((WORD_STATS, -1, int(key[0]), pack(np.append(stats, [some.sum(), len(some)]).astype(np.int64))))
+        rows.append((WORDS, -1, int(key[0]), pack(uw[total > 0], some)))
+        return _frame(rows)
+
+    return run
 
 
 def good_turing(n: np.ndarray) -> np.ndarray:
@@ -267,44 +340,44 @@ class Model:
 def _counts_of(left: pd.DataFrame, right: pd.DataFrame, parts: int) -> tuple[list[np.ndarray], np.ndarray]:
     """A pair partition's table and its words' total counts."""
     table = unpack(left.payload.iloc[0])
-    q = (table[2] % np.uint64(parts)).astype(np.int64)
+    q = (table[1] % np.uint64(parts)).astype(np.int64)
     total = np.zeros(len(q), dtype=np.int64)
     for x, data in zip(right.q, right.payload, strict=True):
         total[q == x] = unpack(data)[0].astype(np.int64)
     return table, total
 
 
-def _hot_sums(model: Model, hot: np.ndarray, parts: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        (uh, many, _, iw, count, *_), total = _counts_of(left, right, parts)
-        first = np.cumsum(many, dtype=np.int64) - many
-        c, kept, mass = model.sums(first, count.astype(np.int64), model.word(total)[iw])
-        at = np.isin(uh, hot)
-        return pd.DataFrame({"h": uh[at].view(np.int64), "c": c[at], "kept": kept[at], "mass": mass[at]})
-
-    return run
-
-
 def _score(model: Model, hot: np.ndarray, hot_sums: np.ndarray, parts: int):
     """hot_sums: count, discounted count and mass by hot history."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        (uh, many, _, iw, count, n, entry, times), total = _counts_of(left, right, parts)
-        first = np.cumsum(many, dtype=np.int64) - many
+        (uh, uw, place, count, n, docs, entry, times), total = _counts_of(left, right, parts)
+        ih, iw = (place // len(uw)).astype(np.int32), (place % len(uw)).astype(np.int32)
+        del place
+        first = np.flatnonzero(_runs(ih))
+        many = np.diff(np.append(first, len(ih)))
+        del ih
         count, cw = count.astype(np.int64), total[iw]
         p1 = model.word(total)[iw]
+        del iw
         c, kept, mass = model.sums(first, count, p1)
         at = np.searchsorted(hot, uh)
         at[at == len(hot)] = 0
         c, kept, mass = (np.where(hot[at] == uh, hot_sums[i][at], x) for i, x in enumerate((c, kept, mass)))
-        all_of, weight = (np.repeat(x, many) for x in model.weights(c, kept, mass))
-        d = model.d2[np.minimum(count, CUTOFF + 1)]
-        log = np.log10(np.where(count > 0, d * count / all_of, weight * p1))
+        total_of, weight = model.weights(c, kept, mass)
+        p1 *= np.repeat(weight, many)
+        seen = count > 0
+        p1[seen] = (model.d2[np.minimum(count, CUTOFF + 1)] * count / np.repeat(total_of, many))[seen]
+        log = np.log10(p1)
         base = np.log10((cw + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-        pair = np.repeat(np.arange(len(n)), n)
+        known = (cw > 0).astype(np.float64)
+        del p1, cw, count, seen
         # only the documents that occur here: a sum each for score, base and known words
-        doc, which = np.unique(entry, return_inverse=True)
-        score, low, known = (np.bincount(which, weights=x * times) for x in (log[pair], base[pair], (cw > 0)[pair]))
+        pair = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        score, low, known = (np.bincount(entry, weights=x[pair] * times, minlength=len(docs)) for x in (log, base, known))
+        doc = docs
+        del pair, log, base, entry, times
+        _give_back()
         heads = np.flatnonzero(_runs(doc // BLOCK_DOCS))
         ends = np.append(heads[1:], len(doc))
         local = (doc % BLOCK_DOCS).astype(np.uint16)
@@ -345,7 +418,8 @@ def _add_up(tokens: int):
 def katz_scores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every document's score under the model learned from the documents that are not held out."""
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a partition's pairs are merged in a task's memory, so there are more of them than of rows elsewhere
+    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     scratch = Scratch(spark, "katz")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -356,27 +430,36 @@ def katz_scores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     hot = np.array([r["w"] for r in often.where((F.col("n") > 0) & (F.col("n") * HOT_SHARE >= tokens)).select("w").collect()], dtype=np.int64).view(np.uint64)
     hot = np.unique(np.append(hot, START))
 
-    events = text.mapInArrow(_events(hot, parts), _EVENT)
-    at = scratch.path("pairs")
-    events.groupBy("p").applyInPandas(_merge(parts), _ROW).write.option("compression", "none").partitionBy("kind").parquet(at)
-    pairs = spark.read.schema("p long, q long, payload binary, kind int").parquet(at)
+    pairs_at = scratch.path("pairs")
+    text.mapInArrow(_events(hot, parts), _EVENT).groupBy("p").applyInPandas(_merge(parts, hot), _ROW).write.option("compression", "none").partitionBy("kind").parquet(pairs_at)
+    pairs = spark.read.schema("p long, q long, payload binary, kind int").parquet(pairs_at)
     at = scratch.path("words")
-    pairs.where(F.col("kind") == ASK).groupBy("q").applyInPandas(_totals, _ROW).write.option("compression", "none").partitionBy("kind").parquet(at)
+    pairs.where(F.col("kind") == ASK).groupBy("q").applyInPandas(_totals(hot), _ROW).write.option("compression", "none").partitionBy("kind").parquet(at)
     words = spark.read.schema("p long, q long, payload binary, kind int").parquet(at)
 
+    # the shuffled pairs and the questions are done with
+    release(spark)
+    scratch.remove(f"{pairs_at}/kind={ASK}")
+
+    def small(df: DataFrame, kind: int) -> list[list[np.ndarray]]:
+        """One small row for each partition."""
+        return [unpack(bytes(r["payload"])) for r in df.where(F.col("kind") == kind).select("payload").collect()]
+
     def add(df: DataFrame, kind: int, size: int) -> np.ndarray:
-        """Sums of one small row for each partition."""
-        rows = [unpack(bytes(r["payload"]))[0] for r in df.where(F.col("kind") == kind).select("payload").collect()]
-        return np.sum(rows, axis=0, dtype=np.int64) if rows else np.zeros(size, np.int64)
+        return np.sum([x[0] for x in small(df, kind)] or [np.zeros(size, np.int64)], axis=0, dtype=np.int64)
+
+    def bins(df: DataFrame, kind: int) -> np.ndarray:
+        out = np.zeros((len(hot), CUTOFF + 1), dtype=np.int64)
+        for have, x in small(df, kind):
+            out[have] += x.reshape(-1, CUTOFF + 1)
+        return out
 
     model = Model(add(words, WORD_STATS, CUTOFF + 4), add(pairs, PAIR_STATS, CUTOFF + 2))
+    r = np.append(np.arange(1, CUTOFF + 1), 1)  # the last bin holds a sum already
+    after, among = bins(pairs, HOT_PAIRS) * r, bins(words, HOT_WORDS) * r
+    hot_sums = np.stack((after.sum(axis=1), after @ model.d2[1:], among @ model.d1[1:] / model.total))
     tables = pairs.where(F.col("kind") == MERGED).select("p", "payload").groupBy("p")
     answers = words.where(F.col("kind") == ANSWER).select("p", "q", "payload").groupBy("p")
-    hot_sums = np.zeros((3, len(hot)))
-    sums = tables.cogroup(answers).applyInPandas(_hot_sums(model, hot, parts), "h long, c double, kept double, mass double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass"))
-    for r in sums.collect():  # a row for each hot history
-        i = np.searchsorted(hot, np.int64(r["h"]).view(np.uint64))
-        hot_sums[:, i] = r["c"], r["kept"], r["mass"]
     scored = tables.cogroup(answers).applyInPandas(_score(model, hot, hot_sums, parts), "block long, payload binary").withColumn("p", F.lit(1))
     listed = pairs.where(F.col("kind") == DOCS).select(F.col("q").alias("block"), F.lit(0).alias("p"), "payload")
     parts_of = listed.unionByName(scored.select("block", "p", "payload")).repartition("block").sortWithinPartitions("block", "p")

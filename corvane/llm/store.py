@@ -7,6 +7,7 @@ a lost executor costs at most the tasks of one stage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,11 +48,18 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for f in frames:
-            at = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
-            at.getFileSystem(conf).delete(at, True)
+            self.remove(f._scratch_path)
+
+    def remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files now, of plans that nothing refers to any more, not when the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def with_row(df: DataFrame, **columns: Column) -> DataFrame:
