@@ -16,9 +16,10 @@ an empty table gives an empty result; further columns do not matter.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
@@ -61,21 +62,43 @@ def _literal(dice: float) -> str:
     return f"array({','.join(rows)})"
 
 
+def probe_words(dice: float) -> list[str]:
+    """Words of which every unit that reaches ``dice`` against some template holds one.
+
+    Such a unit shares y*d/(2-d) of a template's y bigrams at least, so it has one of any
+    set of bigrams that leaves fewer out; those with the longest words are taken.
+    """
+    out = set()
+    for text in TEMPLATES.values():
+        grams = bigrams(text)
+        shared = math.ceil(len(grams) * dice / (2 - dice) - 1e-9)
+        longest = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
+        out |= set(longest[: len(grams) - shared + 1])
+    return sorted(out)
+
+
 _LOWER = "translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _any_of(column: str, dice: float) -> Column:
+    """Whether a text holds a probe word; plain byte searches, on whole texts first and then on units."""
+    low = F.lower(column)
+    out = F.lit(False)
+    for w in probe_words(dice):
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
 def license_matches(docs: DataFrame, dice: float = DICE) -> DataFrame:
     """(doc_id, unit_no, license, dice) of every unit that reaches ``dice``; unit_no -1 is the whole text."""
     sizes = [len(bigrams(t)) for t in TEMPLATES.values()]
     most = int(max(sizes) * (2 - dice) / dice)
     least = min(sizes) * dice / (2 - dice)
     union = sorted({g for t in TEMPLATES.values() for g in bigrams(t)})
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_any_of("text", dice))
     units = base.select("doc_id", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
     units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), -1).otherwise(F.col("unit_no"))).where("n > 1 or unit_no >= 0").drop("n")
-    # every template has a common word; a unit without any cannot share a bigram
-    probe = "|".join(sorted({max(bigrams(t), key=len).split(" ")[0] for t in TEMPLATES.values()} | {w for t in TEMPLATES.values() for g in bigrams(t) for w in g.split(" ") if len(w) > 1}))
-    units = units.where(F.expr(_LOWER).rlike(rf"(?:^|[^a-z0-9])(?:{probe})(?:[^a-z0-9]|$)"))
+    units = units.where(_any_of("unit", dice))
     words = F.filter(F.split(F.regexp_replace(F.expr(_LOWER), r"[^a-z0-9.]+|\.(?![0-9])", " "), " +"), lambda w: w != "")
     units = units.select("doc_id", "unit_no", words.alias("w"))
     # repeats only lower the number of distinct bigrams, so just the lower bound prunes by words
