@@ -216,6 +216,17 @@ def test_redaction(spark):
 
 
 def test_katz(spark, unique):
+def test_ibans_before_capitals_and_digits(spark):
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = [f"iban {gb} Please pay", f"iban {gb.replace(' ', '')} Please", f"iban {gb} BIC NWBK", f"iban {gb} 2024", f"iban {gb} {de} 17", f"iban AB12 {gb}", f"{de}\n{gb}", f"iban {gb}1", f"iban {gb[:-1]}3 Please", f"{gb.replace('GB82', 'GB83')} BIC", "iban ZZ79 WEST 1234 5698 7654 32 BIC"]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = by_id(pii.pii_report(docs))
+    want = ["iban:5:32", "iban:5:27", "iban:5:32", "iban:5:32", "iban:5:32,iban:33:55", "iban:10:37", "iban:0:22,iban:23:50", "", "", ""]
+    assert [got[i].spans for i in range(10)] == want
+    out = by_id(pii.redact(docs))
+    assert (out[0].text, out[4].text) == ("iban [IBAN] Please pay", "iban [IBAN] [IBAN] 17")
+
+
     got = by_id(katz.katz_scores(table(spark, unique), partitions=3))
     tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t, _ in unique}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
