@@ -4,9 +4,9 @@ Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; for
 each host the number of distinct documents with a line is counted, lines above
 the limit are removed, and documents that lose too much are rejected.
 
-Exact and near copies of one document would make its own lines look frequent, so
-documents are counted by their sketch, the least of their line hashes: copies
-share it nearly always and count once.  Removing copies is deduplication's task.
+Exact copies of one document would make its own lines look frequent, so documents
+are counted by a digest of their whole normalised text (the hashes of all their lines, in
+order): copies count once, and documents that only share lines count each.
 
 Cases: null text or text without words has all counts 0 and fails the base rule;
 a null host is a host of its own; repeated rows are copies; an empty table gives
@@ -30,7 +30,7 @@ MAX_REPEAT_PERCENT = 20
 MAX_HOST_DOCS = 30
 MIN_LEFT_PERCENT = 20
 
-_MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sketch long, lines array<struct<hash:long,words:int,at:int>>"
+_MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<struct<hash:long,words:int,at:int>>"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -54,7 +54,7 @@ def _per_row(marks: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("sketch", pa.int64()), ("lines", pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32()), ("at", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("digest", pa.int64()), ("lines", pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32()), ("at", pa.int32())])))])
     for batch, buf, offs in pieces(batches):
         rows = batch.num_rows
         w = Words(buf, offs, lower=False)
@@ -87,22 +87,22 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(low.hashes() * powers(base, n), out=total[1:], dtype=np.uint64)
         line = mix((total[b] - total[a]) * powers(pow(base, -1, 2**64), n + 1)[a]).view(np.int64)
         number = np.searchsorted(cuts, begin) - np.searchsorted(cuts, offs[row])
-        sketch = np.zeros(rows, dtype=np.int64)
-        have = np.flatnonzero(n_lines)
         line_at = np.concatenate(([0], np.cumsum(n_lines)))
-        if len(have):
-            sketch[have] = np.minimum.reduceat(line, line_at[have])
+        # the whole normalised text: a hash over the hashes of its lines
+        total = np.zeros(len(line) + 1, dtype=np.uint64)
+        np.cumsum(line.view(np.uint64) * powers(base, len(line)), out=total[1:], dtype=np.uint64)
+        digest = mix((total[line_at[1:]] - total[line_at[:-1]]) * powers(pow(base, -1, 2**64), len(line) + 1)[line_at[:-1]]).view(np.int64)
         # a line counts once for its document; the place of each is kept for removal
         lines = pa.ListArray.from_arrays(pa.array(line_at, pa.int32()), pa.StructArray.from_arrays([pa.array(line), pa.array((b - a).astype(np.int32)), pa.array(number.astype(np.int32))], names=["hash", "words", "at"]))
         yield pa.RecordBatch.from_arrays([
             batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), batch.column(batch.schema.get_field_index("host")).cast(pa.string()),
             pa.array(w.per_row.astype(np.int64)), pa.array(_per_row(w.solid & (buf & 0xC0 != 0x80), offs)), pa.array(_per_row(_SYMBOL[buf], offs)), pa.array((n_lines - distinct).astype(np.int64)),
-            pa.array(_per_row(covered, words_at)), pa.array(sketch), lines,
+            pa.array(_per_row(covered, words_at)), pa.array(digest), lines,
         ], schema=schema)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """One row per document: the base measures, its sketch and its normalised lines."""
+    """One row per document: the base measures, the digest of its text and its normalised lines."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, _MEASURES)
 
 
@@ -110,10 +110,10 @@ def frequent_lines(measured: DataFrame, max_host_docs: int = MAX_HOST_DOCS) -> D
     """(host, hash) of lines in more than ``max_host_docs`` distinct documents of a host.
 
     The pairs of line and document are made distinct map-side first, so a line
-    that a third of all documents carry is spread over (line, sketch) groups and
+    that a third of all documents carry is spread over (line, digest) groups and
     then summed as partial counts.
     """
-    pairs = measured.select("host", "sketch", F.explode("lines.hash").alias("hash")).distinct()
+    pairs = measured.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
     return pairs.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_host_docs).select("host", "hash")
 
 
@@ -132,7 +132,7 @@ def removals(measured: DataFrame, max_host_docs: int = MAX_HOST_DOCS) -> DataFra
 def verdicts(docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """The measures of every document, what line removal takes from it, and the verdict."""
     m = Scratch(docs.sparkSession, "quality").put(measures(docs), "measures")
-    out = m.drop("lines", "sketch", "host").join(removals(m, max_host_docs), "doc_id", "left")
+    out = m.drop("lines", "digest", "host").join(removals(m, max_host_docs), "doc_id", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")

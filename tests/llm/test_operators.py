@@ -99,6 +99,15 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert "\n" not in texts[0].text and texts[0].n_chars == len(texts[0].text) and texts[200].text == rows[45][1]
 
 
+def test_different_documents_with_the_same_lines_count_each(spark):
+    r = random.Random(2)
+    shared = [f"shared line number {i} of the host" for i in range(20)]
+    rows = [(i, "\n".join([*shared, sentence(r, 200, 10**6).replace("\n", " ")]), "a") for i in range(35)]
+    rows += [(100 + i, "\n".join([*[f"other {x}" for x in shared], sentence(r, 200, 10**6).replace("\n", " ")]), "a") for i in range(30)]
+    got = by_id(quality.quality_report(table(spark, rows)))
+    assert {got[i].removed_lines for i in range(35)} == {20} and {got[100 + i].removed_lines for i in range(30)} == {0}
+
+
 def shingle_set(text):
     w = WORD.findall(lower(text or ""))
     return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
