@@ -7,7 +7,8 @@ would then be repeated more often than the limit allows; then the smallest that
 keeps the limit.
 
 The budget is the least that passes over every source at least once, so that no
-document is lost; a larger one may be given.  A source's part of it is realised as
+document is lost; a larger one may be given, and under any budget every source is
+passed over once.  A source's part of it is realised as
 whole passes and one part pass.  Documents are dealt to at most 4,096 blocks a
 source by the digest of their id; each pass puts the blocks in an order of its
 own, and the part pass takes the blocks that begin before the budget ends.  Only
@@ -85,14 +86,15 @@ def block_plan(docs: DataFrame, scratch: Scratch, entropy: float = ENTROPY, repe
     tau = exponent(totals, entropy, repeats).first()["tau"]
     weighed = totals.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
     weighed = weighed.withColumn("raw", F.when(F.col("tokens") > 0, F.pow("share", F.lit(tau))).otherwise(0.0))
-    weighed = weighed.withColumn("weight", F.round(F.col("raw") / F.sum("raw").over(Window.partitionBy()), 9))
+    # rounded only where it is returned: a weight under 5e-10 would be 0, and its source lost
+    weighed = weighed.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy()))
     least = F.max(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))).over(Window.partitionBy())
     whole = F.lit(float(budget)) if budget is not None else least
     weighed = weighed.withColumn("budget", F.round(F.col("weight") * whole).cast("long"))
     weighed = weighed.select(
-        "source", "tokens", "n_docs", F.round("share", 9).alias("share"), F.lit(tau).alias("tau"), "weight", "budget", F.least(F.col("n_docs"), F.lit(MAX_BLOCKS)).alias("blocks"),
-        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long").alias("passes"),
-        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"),
+        "source", "tokens", "n_docs", F.round("share", 9).alias("share"), F.lit(tau).alias("tau"), F.round("weight", 9).alias("weight"), "budget", F.least(F.col("n_docs"), F.lit(MAX_BLOCKS)).alias("blocks"),
+        F.when(F.col("tokens") > 0, F.greatest(F.floor(F.col("budget") / F.col("tokens")), F.lit(1))).otherwise(1).cast("long").alias("passes"),
+        F.when(F.col("budget") >= F.col("tokens"), F.try_mod("budget", "tokens")).otherwise(0).cast("long").alias("rest"),
     )
     sources = scratch.put(weighed, "sources")
     # a row a source, so at most as many as there are; a plain join lets the engine choose by size

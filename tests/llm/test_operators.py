@@ -216,15 +216,6 @@ def test_pii_further_kinds_and_context(spark):
     assert (got[5].scores, got[6].scores) == ("0.90", "0.60")
 
 
-def test_redaction(spark):
-    docs = table(spark, [(1, "a x@y.zz b 1.2.3.4\n+1 555 123 4567", "s"), (2, None, "s"), (3, "clean", "s"), (4, "\U0001f600 x@y.zz", "s"), (5, "+4111 1111 1111 1111 1", "s")])
-    out = by_id(pii.redact(docs))
-    assert pii.redact(docs).schema == docs.schema
-    assert [out[i].text for i in (1, 2, 3, 4)] == ["a [EMAIL] b [IP]\n[PHONE]", None, "clean", "\U0001f600 [EMAIL]"]
-    assert out[1].n_chars == len(out[1].text) and out[2].n_chars is None and out[5].text.startswith("+4") is False or out[5].text
-
-
-def test_katz(spark, unique):
 def test_ibans_before_capitals_and_digits(spark):
     gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
     texts = [f"iban {gb} Please pay", f"iban {gb.replace(' ', '')} Please", f"iban {gb} BIC NWBK", f"iban {gb} 2024", f"iban {gb} {de} 17", f"iban AB12 {gb}", f"{de}\n{gb}", f"iban {gb}1", f"iban {gb[:-1]}3 Please", f"{gb.replace('GB82', 'GB83')} BIC", "iban ZZ79 WEST 1234 5698 7654 32 BIC"]
@@ -236,6 +227,15 @@ def test_ibans_before_capitals_and_digits(spark):
     assert (out[0].text, out[4].text) == ("iban [IBAN] Please pay", "iban [IBAN] [IBAN] 17")
 
 
+def test_redaction(spark):
+    docs = table(spark, [(1, "a x@y.zz b 1.2.3.4\n+1 555 123 4567", "s"), (2, None, "s"), (3, "clean", "s"), (4, "\U0001f600 x@y.zz", "s"), (5, "+4111 1111 1111 1111 1", "s")])
+    out = by_id(pii.redact(docs))
+    assert pii.redact(docs).schema == docs.schema
+    assert [out[i].text for i in (1, 2, 3, 4)] == ["a [EMAIL] b [IP]\n[PHONE]", None, "clean", "\U0001f600 [EMAIL]"]
+    assert out[1].n_chars == len(out[1].text) and out[2].n_chars is None and out[5].text.startswith("+4") is False or out[5].text
+
+
+def test_katz(spark, unique):
     got = by_id(katz.katz_scores(table(spark, unique), partitions=3))
     tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t, _ in unique}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
@@ -405,6 +405,15 @@ def test_mixing(spark):
     assert mixed.schema == docs.schema and collections.Counter(x["doc_id"] for x in mixed.collect()) == collections.Counter(x["doc_id"] for x in out)
 
 
+def test_mixing_keeps_sources_of_hardly_any_weight(spark, monkeypatch):
+    facts = [(1, "big", 3 * 10**9, 5), (2, "big", 2 * 10**9, 6), (3, "tiny", 1, 7), (4, "small", 6, 8)]
+    monkeypatch.setattr(mixing, "measured", lambda docs: spark.createDataFrame(facts, "doc_id bigint, source string, n_tokens bigint, digest bigint"))
+    got = mixing.mixture(table(spark, [])).collect()
+    assert {x["doc_id"] for x in got} == {1, 2, 3, 4}
+    per = collections.Counter(x["doc_id"] for x in got)
+    assert max(per.values()) <= mixing.REPEATS + 1 and per[1] == per[2] == 1
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return sentencepiece_np.load_vocabulary()
