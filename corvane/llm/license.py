@@ -24,7 +24,15 @@ from pyspark.sql import functions as F
 
 DICE = 0.8
 
-#: Short licence notices by SPDX-like name.
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
+    retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+    the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+    (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Licence notices and texts by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -39,8 +47,46 @@ TEMPLATES = {
     "MIT-line": "Licensed under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "proprietary": "All rights reserved.",
+    # whole texts of the short licences
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause-text": f"{_BSD_HEAD} {_BSD_TAIL}",
+    "BSD-3-Clause-text": f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+        OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    # the titles of the long ones
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
 }
 
+#: The usual wordings of a notice, and what each licence is called in them.
+WORDINGS = {"released": "Released under {}.", "licensed": "Licensed under {}.", "distributed": "Distributed under {}.", "work": "This work is licensed under {}."}
+NAMES = {
+    "MIT": ["the MIT License"], "ISC": ["the ISC License"], "Unlicense": ["the Unlicense"], "BSD-2-Clause": ["the BSD 2-Clause License"], "BSD-3-Clause": ["the BSD 3-Clause License"],
+    "Apache-2.0": ["the Apache License, Version 2.0"], "MPL-2.0": ["the Mozilla Public License, version 2.0"], "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["the GNU General Public License, version 2"], "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["the GNU Lesser General Public License, version 3"], "AGPL-3.0": ["the GNU Affero General Public License, version 3"],
+    "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+}
+for _name, _called in NAMES.items():
+    for _how, _wording in WORDINGS.items():
+        for _i, _as in enumerate(_called):
+            if _wording.format(_as) not in TEMPLATES.values():
+                TEMPLATES[f"{_name}-{_how}{_i + 1 if _i else ''}"] = _wording.format(_as)
+
 
 def normalise(text: str) -> str:
     """The Python twin of the expression below, for the templates."""
@@ -66,14 +112,18 @@ def probe_words(dice: float) -> list[str]:
     """Words of which every unit that reaches ``dice`` against some template holds one.
 
     Such a unit shares y*d/(2-d) of a template's y bigrams at least, so it has one of any
-    set of bigrams that leaves fewer out; those with the longest words are taken.
+    set of bigrams that leaves fewer out; the words that cover such a set are taken,
+    few and long ones first.
     """
-    out = set()
-    for text in TEMPLATES.values():
-        grams = bigrams(text)
-        shared = math.ceil(len(grams) * dice / (2 - dice) - 1e-9)
-        longest = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
-        out |= set(longest[: len(grams) - shared + 1])
+    out: set[str] = set()
+    for text in sorted(TEMPLATES.values(), key=lambda t: (len(bigrams(t)), t)):
+        grams = [set(g.split(" ")) for g in bigrams(text)]
+        open_, most = [g for g in grams if not g & out], math.ceil(len(grams) * dice / (2 - dice) - 1e-9) - 1
+        while len(open_) > most:
+            count = {w: sum(w in g for g in open_) for g in open_ for w in g}
+            best = min(count, key=lambda w: (len(w) < 6 and "." not in w, -count[w], -len(w), w))
+            out.add(best)
+            open_ = [g for g in open_ if best not in g]
     return sorted(out)
 
 

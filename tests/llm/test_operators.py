@@ -474,6 +474,19 @@ def test_licenses(spark):
         assert (got[i].best_dice or 0) == (want if want >= license.DICE else 0)
 
 
+def test_licences_not_spelt_like_a_template(spark):
+    text = license.TEMPLATES["MIT-text"]
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT", "This work is licensed under GNU General Public License version 3": "GPL-3.0",
+        "Distributed under the terms of the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under the GNU Affero General Public License version 3": "AGPL-3.0", "released under the BSD 2-Clause license": "BSD-2-Clause",
+        "Released under the ISC License!": "ISC", "This is free and unencumbered software, released into the public domain": "Unlicense", "Released under CC0 1.0 Universal": "CC0-1.0", "Copyright (c) 2020 A. Person\n" + text.replace("AUTHORS", "OWNERS"): "MIT-text",
+        license.TEMPLATES["BSD-2-Clause-text"].replace("COPYRIGHT HOLDER", "OWNER"): "BSD-2-Clause-text", "GNU General Public License\nVersion 3, 29 June 2007": "GPL-3.0-title",
+    }
+    got = by_id(license.license_report(table(spark, [(i, t, "s") for i, t in enumerate(want)])))
+    assert all((got[i].best_license or "").startswith(w) and got[i].n_units > 0 for i, w in enumerate(want.values())), [got[i].best_license for i in range(len(want))]
+    assert got[0].best_dice == got[1].best_dice == 1.0
+
+
 def test_chat_parts_and_read_back(spark):
     parts = [{"type": "text", "text": "see <|image:0|> \\|"}, {"type": "image", "ref": "a.png", "width": 56, "height": 29}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"text": "end"}, {"type": "document", "ref": "c.pdf", "pages": 2}]
     x = chat.format_turn("assistant", parts)
