@@ -7,6 +7,11 @@ where x lies between y*d/(2-d) and y*(2-d)/d; units outside every template's bou
 dropped before their bigrams are made, and the rest meet only the templates
 whose bounds they are in.
 
+Lines that reach no template are read again as one run of words (a text that does reach one as a
+whole is not): windows that begin at a bigram of a template and are within its bounds are
+units too, so a notice wrapped over lines or inside a long line is found.  All windows of a
+document are unit -2.
+
 Everything is DataFrame expressions; the templates are a fixed table of literals.
 
 Cases: null and empty text, and units of one word, match nothing; equal scores are
@@ -22,6 +27,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 DICE = 0.8
 
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
@@ -139,29 +146,74 @@ def _any_of(column: str, dice: float) -> Column:
     return out
 
 
-def license_matches(docs: DataFrame, dice: float = DICE) -> DataFrame:
-    """(doc_id, unit_no, license, dice) of every unit that reaches ``dice``; unit_no -1 is the whole text."""
+def _words(unit: str) -> Column:
+    """The normalised words of a column's text."""
+    return F.filter(F.split(F.regexp_replace(F.expr(_LOWER.replace("unit", unit)), r"[^a-z0-9.]+|\.(?![0-9])", " "), " +"), lambda w: w != "")
+
+
+def _in_order(w: Column) -> Column:
+    # filters may run after this, so no length may be negative
+    pairs = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), pairs), F.slice(w, F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _unit_scores(units: DataFrame, dice: float) -> DataFrame:
+    """(row, unit_no, license, dice) of the units that reach ``dice``, with the other columns of ``units``."""
     sizes = [len(bigrams(t)) for t in TEMPLATES.values()]
     most = int(max(sizes) * (2 - dice) / dice)
     least = min(sizes) * dice / (2 - dice)
     union = sorted({g for t in TEMPLATES.values() for g in bigrams(t)})
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_any_of("text", dice))
-    units = base.select("doc_id", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
-    units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), -1).otherwise(F.col("unit_no"))).where("n > 1 or unit_no >= 0").drop("n")
-    units = units.where(_any_of("unit", dice))
-    words = F.filter(F.split(F.regexp_replace(F.expr(_LOWER), r"[^a-z0-9.]+|\.(?![0-9])", " "), " +"), lambda w: w != "")
-    units = units.select("doc_id", "unit_no", words.alias("w"))
+    keep = [c for c in units.columns if c != "unit"]
+    units = units.where(_any_of("unit", dice)).select(*keep, _words("unit").alias("w"))
     # repeats only lower the number of distinct bigrams, so just the lower bound prunes by words
     units = units.where(F.size("w") - 1 >= least)
-    # the filter above may run after this, so no length may be negative
-    pairs = F.greatest(F.size("w") - 1, F.lit(0))
-    grams = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), pairs), F.slice("w", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)))
-    units = units.select("doc_id", "unit_no", grams.alias("g")).where(F.size("g").between(int(least), most))
+    units = units.select(*keep, F.array_distinct(_in_order(F.col("w"))).alias("g")).where(F.size("g").between(int(least), most))
     units = units.where(F.arrays_overlap("g", F.array(*[F.lit(g) for g in union])))
     fits = F.expr(f"filter({_literal(dice)}, t -> size(g) >= t.low AND size(g) <= t.high)")
-    pairs = units.select("doc_id", "unit_no", "g", F.explode(fits).alias("t"))
+    pairs = units.select(*keep, "g", F.explode(fits).alias("t"))
     score = 2.0 * F.size(F.array_intersect("g", F.col("t.grams"))) / (F.size("g") + F.col("t.size"))
-    return pairs.select("doc_id", "unit_no", F.col("t.name").alias("license"), F.round(score, 6).alias("dice")).where(F.col("dice") >= dice)
+    return pairs.select(*keep, F.col("t.name").alias("license"), F.round(score, 6).alias("dice")).where(F.col("dice") >= dice)
+
+
+def _window_scores(rows: DataFrame, dice: float) -> DataFrame:
+    """(doc_id, unit_no, license, dice) of the best window of each template in ``text``."""
+    union = sorted({g for t in TEMPLATES.values() for g in bigrams(t)})
+    rows = rows.where(_any_of("text", dice)).select("doc_id", _in_order(_words("text")).alias("o"))
+    rows = rows.select("doc_id", "o", F.array_intersect("o", F.array(*[F.lit(g) for g in union])).alias("d")).where(F.size("d") > 0)
+    # a window that reaches `dice` shares low = y*d/(2-d) bigrams at least
+    near = F.expr(f"filter({_literal(dice)}, t -> size(array_intersect(d, t.grams)) >= t.low - 1e-9D)")
+    pairs = rows.select("doc_id", "o", F.explode(near).alias("t"))
+    # the first occurrences in a window keep their order, so every prefix of them is a shorter window's set
+    best = F.expr("""
+        array_max(transform(
+            filter(sequence(0, size(o) - 1), i -> array_contains(t.grams, o[i]) AND size(array_intersect(slice(o, i + 1, int(2 * t.high)), t.grams)) >= t.low - 1e-9D),
+            i -> aggregate(array_distinct(slice(o, i + 1, int(2 * t.high))), named_struct('x', 0, 'c', 0, 'best', 0.0D),
+                (a, e) -> named_struct('x', a.x + 1, 'c', a.c + int(array_contains(t.grams, e)), 'best', greatest(a.best, 2.0D * (a.c + int(array_contains(t.grams, e))) / (a.x + 1 + t.size))),
+                a -> a.best)))
+        """)
+    return pairs.select("doc_id", F.lit(-2).alias("unit_no"), F.col("t.name").alias("license"), F.round(best, 6).alias("dice")).where(F.col("dice") >= dice)
+
+
+def license_matches(docs: DataFrame, dice: float = DICE) -> DataFrame:
+    """(doc_id, unit_no, license, dice) of every unit that reaches ``dice``; unit_no -1 is the whole text, -2 its windows."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_any_of("text", dice))
+    # read three times below, and few of all texts
+    base = Scratch(docs.sparkSession, "license").put(base, "base")
+    units = base.select("doc_id", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
+    units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), -1).otherwise(F.col("unit_no"))).where("n > 1 or unit_no >= 0").drop("n")
+    hits = _unit_scores(units, dice).select("doc_id", "unit_no", "license", "dice")
+    # texts whose own units explain them are told by digest, as ids may be repeated or null
+    taken = _hits_by_text(base, dice)
+    rest = base.withColumn("key", F.sha2("text", 256)).join(taken, "key", "left").where("not coalesce(array_contains(hit, -1), false)")
+    lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("hit", i), F.lit(False)))
+    return hits.unionByName(_window_scores(rest.select("doc_id", F.array_join(lines, "\n").alias("text")), dice))
+
+
+def _hits_by_text(base: DataFrame, dice: float) -> DataFrame:
+    """(key, hit): the units of every text that reach ``dice``; key: the text's digest."""
+    units = base.select(F.sha2("text", 256).alias("key"), F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
+    units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), F.when(F.col("n") > 1, -1).otherwise(0)).otherwise(F.col("unit_no"))).drop("n")
+    return _unit_scores(units, dice).groupBy("key").agg(F.collect_set("unit_no").alias("hit"))
 
 
 def license_report(docs: DataFrame, dice: float = DICE) -> DataFrame:

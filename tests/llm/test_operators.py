@@ -487,6 +487,22 @@ def test_licences_not_spelt_like_a_template(spark):
     assert got[0].best_dice == got[1].best_dice == 1.0
 
 
+def test_licences_wrapped_or_inside_lines(spark):
+    import textwrap
+
+    r = random.Random(3)
+    body = lambda: "\n".join(sentence(r, 12).replace("\n", " ") for _ in range(20))
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0-notice", "MIT-text"]
+    rows = [(i, f"{body()}\n{textwrap.fill(license.TEMPLATES[n], width)}\n{body()}", n) for i, (n, width) in enumerate((n, w) for n in names for w in (72, 80))]
+    rows += [(50, "We took this from upstream. Licensed under the MIT License. See the file for details.", "MIT"), (51, f"{body()}\nAll rights reserved.\nThis is\nreleased under the\nMIT License for all.", "MIT")]
+    rows += [(60, "Upstream is licensed. Under it the terms of MIT are not a license.", ""), (61, body(), "")]
+    got = by_id(license.license_report(table(spark, rows)))
+    for i, _, name in rows[:-2]:
+        assert name in got[i].licenses and got[i].best_dice >= license.DICE, (i, got[i])
+    assert got[51].n_units == 2 and "proprietary" in got[51].licenses and got[50].best_dice == 1.0
+    assert got[60].n_units == got[61].n_units == 0
+
+
 def test_chat_parts_and_read_back(spark):
     parts = [{"type": "text", "text": "see <|image:0|> \\|"}, {"type": "image", "ref": "a.png", "width": 56, "height": 29}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"text": "end"}, {"type": "document", "ref": "c.pdf", "pages": 2}]
     x = chat.format_turn("assistant", parts)
