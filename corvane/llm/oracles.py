@@ -41,15 +41,13 @@ many AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, least AS component_id, least = id AS kept FROM reach LEFT JOIN many ON many.a = reach.id
 """
 
-#: The sketch of a document is any fixed choice of one of its lines that copies share; here the least MD5.
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 l AS (
     SELECT doc_id, host, len(w) AS words, raw, array_to_string(w, ' ') AS line FROM (
         SELECT doc_id, host, raw, regexp_extract_all({_LOWER.replace("text", "raw")}, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS raw FROM d)) WHERE len(w) > 0
 ),
-sketch AS (SELECT doc_id, min(md5(line)) AS sketch FROM l GROUP BY doc_id),
-hot AS (SELECT host, line FROM l JOIN sketch USING (doc_id) GROUP BY host, line HAVING count(DISTINCT sketch) > {quality.MAX_HOST_DOCS}),
+hot AS (SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT doc_id) > {quality.MAX_HOST_DOCS}),
 gone AS (SELECT doc_id, sum(words) AS removed_words, count(*) AS removed_lines FROM l JOIN hot USING (host, line) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM l GROUP BY doc_id),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 4),

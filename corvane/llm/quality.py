@@ -4,12 +4,16 @@ Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; for
 each host the number of distinct documents with a line is counted, lines above
 the limit are removed, and documents that lose too much are rejected.
 
-Exact copies of one document would make its own lines look frequent, so documents
-are counted by a digest of their whole normalised text (the hashes of all their lines, in
-order): copies count once, and documents that only share lines count each.
+Documents are told by their id, so exact copies count each.  ``copies_once`` counts by a
+digest of the whole normalised text instead (the hashes of all its lines, in order);
+it is off by default.
+
+Lines are joined with the frequent ones of their host by a broadcast where those are few by
+count, else by salted keys, as a frequent line is a hot key by nature.
 
 Cases: null text or text without words has all counts 0 and fails the base rule;
-a null host is a host of its own; repeated rows are copies; an empty table gives
+a null host is a host of its own; rows of one id are one document in the counts (rows
+without id too) and are measured and cut each by its own text; an empty table gives
 an empty result; further columns of the input do not matter.
 """
 
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch, unpack_row, with_row
@@ -29,8 +33,11 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_HOST_DOCS = 30
 MIN_LEFT_PERCENT = 20
+#: Frequent lines (some 40 bytes each) up to which they are broadcast; beyond it the join is salted.
+BROADCAST_LINES = 200_000
+SALTS = 32
 
-_MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<struct<hash:long,words:int,at:int>>"
+_MEASURES = "doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<struct<hash:long,words:int,at:int>>"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -54,7 +61,7 @@ def _per_row(marks: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("digest", pa.int64()), ("lines", pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32()), ("at", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("digest", pa.int64()), ("lines", pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32()), ("at", pa.int32())])))])
     for batch, buf, offs in pieces(batches):
         rows = batch.num_rows
         w = Words(buf, offs, lower=False)
@@ -95,64 +102,86 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a line counts once for its document; the place of each is kept for removal
         lines = pa.ListArray.from_arrays(pa.array(line_at, pa.int32()), pa.StructArray.from_arrays([pa.array(line), pa.array((b - a).astype(np.int32)), pa.array(number.astype(np.int32))], names=["hash", "words", "at"]))
         yield pa.RecordBatch.from_arrays([
-            batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), batch.column(batch.schema.get_field_index("host")).cast(pa.string()),
+            batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), batch.column(batch.schema.get_field_index("host")).cast(pa.string()), batch.column(batch.schema.get_field_index("body")),
             pa.array(w.per_row.astype(np.int64)), pa.array(_per_row(w.solid & (buf & 0xC0 != 0x80), offs)), pa.array(_per_row(_SYMBOL[buf], offs)), pa.array((n_lines - distinct).astype(np.int64)),
             pa.array(_per_row(covered, words_at)), pa.array(digest), lines,
         ], schema=schema)
 
 
+def _body(text) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """One row per document: the base measures, the digest of its text and its normalised lines."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, _MEASURES)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), _body(text).alias("body"), text.alias("text")).mapInArrow(_measure, _MEASURES)
 
 
-def frequent_lines(measured: DataFrame, max_host_docs: int = MAX_HOST_DOCS) -> DataFrame:
+def frequent_lines(measured: DataFrame, max_host_docs: int = MAX_HOST_DOCS, copies_once: bool = False) -> DataFrame:
     """(host, hash) of lines in more than ``max_host_docs`` distinct documents of a host.
 
-    The pairs of line and document are made distinct map-side first, so a line
-    that a third of all documents carry is spread over (line, digest) groups and
-    then summed as partial counts.
+    The pairs of line and document are made distinct first, so a line that a third
+    of all documents carry is spread over (line, document) groups and then summed
+    as partial counts.
     """
-    pairs = measured.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
+    pairs = measured.select("host", "digest" if copies_once else "doc_id", F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
     return pairs.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_host_docs).select("host", "hash")
 
 
-def removals(measured: DataFrame, max_host_docs: int = MAX_HOST_DOCS) -> DataFrame:
-    """(doc_id, removed_words, removed_lines, places) of documents that lose lines.
-
-    Repeated ids are told apart by nothing else than their rows' content, and are
-    one document here.
-    """
-    hot = frequent_lines(measured, max_host_docs).withColumnRenamed("host", "hot_host").withColumnRenamed("hash", "hot_hash")
-    lines = measured.select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.hash", "l.words", "l.at").distinct()
-    hit = lines.join(hot, (F.col("hash") == F.col("hot_hash")) & F.col("host").eqNullSafe(F.col("hot_host")))
-    return hit.groupBy("doc_id").agg(F.sum("words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"), F.collect_list("at").alias("places"))
-
-
-def verdicts(docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """The measures of every document, what line removal takes from it, and the verdict."""
-    m = Scratch(docs.sparkSession, "quality").put(measures(docs), "measures")
-    out = m.drop("lines", "digest", "host").join(removals(m, max_host_docs), "doc_id", "left")
+def removals(measured: DataFrame, scratch: Scratch, max_host_docs: int = MAX_HOST_DOCS, copies_once: bool = False) -> DataFrame:
+    """(id, at_host, of_body, removed_words, removed_lines, places) of documents that lose lines."""
+    hot = scratch.put(frequent_lines(measured, max_host_docs, copies_once).toDF("hot_host", "hot_hash"), "frequent")
+    lines = measured.select("doc_id", "host", "body", F.explode("lines").alias("l")).select("doc_id", "host", "body", "l.hash", "l.words", "l.at")
+    same = (F.col("hash") == F.col("hot_hash")) & F.col("host").eqNullSafe(F.col("hot_host"))
+    if hot.count() <= BROADCAST_LINES:
+        hit = lines.join(F.broadcast(hot), same)
+    else:
+        salted = hot.withColumn("hot_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "body", "at"), F.lit(SALTS)).cast("int")
+        hit = lines.withColumn("salt", salt).join(salted, same & (F.col("salt") == F.col("hot_salt")))
+    # rows that repeat whole are one group, and each of their lines counts once
+    by_place = hit.groupBy("doc_id", "host", "body", "at").agg(F.first("words").alias("words"))
+    return by_place.groupBy(F.col("doc_id").alias("id"), F.col("host").alias("at_host"), F.col("body").alias("of_body")).agg(F.sum("words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"), F.collect_list("at").alias("places"))
+
+
+def verdicts(docs: DataFrame, max_host_docs: int = MAX_HOST_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, copies_once: bool = False) -> DataFrame:
+    """The measures of every document (with ``host`` and ``body``), what line removal takes from it, and the verdict."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    m = scratch.put(measures(docs), "measures")
+    gone = removals(m, scratch, max_host_docs, copies_once)
+    own = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("host").eqNullSafe(F.col("at_host")) & (F.col("body") == F.col("of_body"))
+    out = m.drop("lines", "digest").join(gone, own, "left").drop("id", "at_host", "of_body")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * left >= min_left_percent * F.col("n_words")))
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    return verdicts(docs).drop("places")
+def quality_report(docs: DataFrame, **limits) -> DataFrame:
+    return verdicts(docs, **limits).drop("places", "host", "body")
 
 
-def quality_filter(docs: DataFrame) -> DataFrame:
+def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, without the removed lines; same columns as ``docs``.
 
-    ``n_chars`` follows the shortened text.  Rows of one id share their fate: they
-    stay if one of them passes.
+    ``n_chars`` follows the shortened text.
     """
-    v = verdicts(docs).where("kept").select(F.col("doc_id").alias("id"), "places").distinct()
-    rows = with_row(docs, own=F.col("doc_id").cast("long"), body=F.col("text").cast("string"))
-    out = rows.join(v, F.col("own").eqNullSafe(F.col("id")))
-    kept = F.array_join(F.filter(F.split("body", "\n"), lambda _, i: ~F.array_contains(F.col("places"), i.cast("int"))), "\n")
-    text = F.when(F.col("places").isNull(), F.col("body")).otherwise(kept)
-    n_chars = F.when(F.col("places").isNull(), F.col("row").getField("n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else F.lit(None)
+    v = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("id"), F.col("host").alias("at_host"), F.col("body").alias("of_body"), F.col("places").alias("gone"))
+    # rows that repeat whole have one verdict
+    v = v.dropDuplicates(["id", "at_host", "of_body"])
+    text = F.col("text").cast("string")
+    rows = with_row(docs, own=F.col("doc_id").cast("long"), host=F.col("source").cast("string"), body=_body(text), whole=text)
+    out = rows.join(v, F.col("own").eqNullSafe(F.col("id")) & F.col("host").eqNullSafe(F.col("at_host")) & (F.col("body") == F.col("of_body")))
+
+    def cut(lines: Column) -> Column:
+        # a set operation, so long texts that lose many lines stay linear
+        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # the lambda binds the lines, so a text is split once
+    kept = F.get(F.transform(F.array(F.split("whole", "\n")), cut), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(kept)
+    n_chars = F.when(F.col("gone").isNull(), F.col("row").getField("n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else F.lit(None)
     return unpack_row(out, docs, text=text, n_chars=n_chars)

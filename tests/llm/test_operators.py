@@ -87,11 +87,13 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     rows += [(100 + i, f"own words {i} here are few\n" + "\n".join([common] * 6), "a") for i in range(5)]
     rows += [(200, f"{common}\n{sentence(r, 60)}", "b")]  # not frequent on this host
     copy = sentence(r, 80)
-    rows += [(300 + i, copy, "a") for i in range(60)]  # copies are one document
+    rows += [(300 + i, copy, "a") for i in range(60)]  # copies are documents, so each of their lines is frequent
     got = by_id(quality.quality_report(table(spark, rows)))
     assert all(got[i].kept and got[i].removed_lines == 1 for i in range(40))
     assert not any(got[100 + i].kept for i in range(5)) and got[200].removed_lines == 0
-    assert all(got[300 + i].kept and got[300 + i].removed_lines == 0 for i in range(60))
+    assert not any(got[300 + i].kept for i in range(60))
+    once = by_id(quality.quality_report(table(spark, rows), copies_once=True))
+    assert all(once[300 + i].kept and once[300 + i].removed_lines == 0 for i in range(60))
     docs = table(spark, rows)
     out = quality.quality_filter(docs)
     assert out.schema == docs.schema and {r["doc_id"] for r in out.collect()} == {i for i, g in got.items() if g.kept}
@@ -108,6 +110,27 @@ def test_different_documents_with_the_same_lines_count_each(spark):
     assert {got[i].removed_lines for i in range(35)} == {20} and {got[100 + i].removed_lines for i in range(30)} == {0}
 
 
+def test_documents_that_are_only_a_shared_line_count_each(spark):
+    common = "a line of boilerplate with twelve words in it so that rules pass"
+    got = by_id(quality.quality_report(table(spark, [(i, common, "a") for i in range(40)])))
+    assert all(g.removed_lines == 1 and not g.kept for g in got.values())
+    got = by_id(quality.quality_report(table(spark, [(i, f"{common}\n" + " ".join(f"own{i}x{k}" for k in range(20)), "a") for i in range(40)])))
+    assert all(g.removed_lines == 1 and g.kept for g in got.values())
+    got = by_id(quality.quality_report(table(spark, [(i, common, "a") for i in range(30)])))
+    assert all(g.removed_lines == 0 and g.kept for g in got.values())
+
+
+def test_lines_of_repeated_ids_are_cut_from_their_own_text(spark, monkeypatch):
+    r = random.Random(8)
+    line = " ".join(f"c{k}" for k in range(12))
+    own = [" ".join(f"o{i}x{k}" for k in range(30)) for i in range(40)]
+    rows = [(i, f"{own[i]}\n{line}", "a") for i in range(35)] + [(3, f"{line}\n\n{own[39]}", "a"), (3, own[38], None), (4, f"{own[4]}\n{line}", "a"), (None, f"{line}\n{own[37]}", "a")]
+    for few in (200_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LINES", few)
+        out = [(x.doc_id, x.text) for x in quality.quality_filter(table(spark, rows)).collect()]
+        assert collections.Counter(out) == collections.Counter([(i, own[i]) for i in range(35)] + [(3, f"\n{own[39]}"), (3, own[38]), (4, own[4]), (None, own[37])])
+
+
 def shingle_set(text):
     w = WORD.findall(lower(text or ""))
     return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
