@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         p[0] = 1
         _POWERS[base] = have = np.cumprod(p, dtype=np.uint64)
-    if n > 1 << 24:  # a giant row's table isn't worth keeping
+    if n > 1 << 22:  # a giant row's table isn't worth keeping
         _POWERS.pop(base, None)
     return have[:n]
 

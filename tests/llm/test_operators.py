@@ -331,6 +331,27 @@ def test_repeats_of_small_alphabets_and_shifted_edits(spark, seed, monkeypatch):
     assert {i: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for i, g in got.items()} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("limits", [{}, {"HOT_CONTEXTS": 2}, {"HOT_CONTEXTS": 2, "CHUNK": 300, "BATCH_BYTES": 4000, "CONTEXT_BATCH": 2000, "BUCKET_CONTEXTS": 5000}])
+def test_repeats_of_hot_passages_long_texts_and_repeated_ids(spark, limits, monkeypatch):
+    for k, v in limits.items():
+        monkeypatch.setattr(repeats, k, v)
+    r = random.Random(11)
+    word = lambda n: " ".join(f"{r.randrange(10**6):x}" for _ in range(n))
+    line = word(16)[:96]  # shorter than a window, so each document's windows around it differ
+    rows = [(i, f"{word(r.randrange(0, 4))} {line} {r.choice('ab')}{word(r.randrange(0, 30))}", "s") for i in range(70)]
+    passage = word(60)
+    rows += [(100 + i, word(20) + passage + word(20), "s") for i in range(40)]
+    rows += [(200, word(400) + passage * 2 + rows[0][1], "s"), (201, "é" * 700, "s"), (202, rows[3][1], "s")]
+    want = brute_repeats(rows)
+    got = by_id(repeats.repeat_report(table(spark, rows), partitions=3))
+    assert {i: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for i, g in got.items()} == want
+    # rows of one id: equal ones are one document, others are documents of their own
+    a, b, c = word(40), word(40), word(60)
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (2, b, "s"), (3, a + b, "s"), (4, c, "s"), (None, a, "s")]
+    got = sorted(((x.doc_id or 0), x.n_bytes, x.n_removed) for x in repeats.repeat_report(table(spark, rows), partitions=2).collect())
+    assert got == sorted([(1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (2, len(b), 0), (3, len(a + b), len(a + b)), (4, len(c), 0), (0, len(a), 0)])
+
+
 def test_interleave_orders_suffixes_like_sorting():
     r = random.Random(0)
     units = [bytes(r.choice(b"ab") for _ in range(r.randrange(100, 120))) * r.choice([1, 2]) for _ in range(30)]
