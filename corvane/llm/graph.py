@@ -30,13 +30,26 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges with their first node's least neighbour beside them.
+#: A key with this share of all rows or more is hot, so there are as many hot keys at most, and their rows may be broadcast.
+HOT_SHARE = 1000
 
-    The minima are aggregated before the join, so a hub's edges are never
-    gathered in a group and adaptive execution may split them.
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and the number ``n`` of left rows that have it.
+
+    Hot keys (a thousandth of the ``total`` left rows, so a thousand of them at most) meet
+    their row by a broadcast and stay where they are; only the other rows are dealt by key.
     """
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    hot = F.col("n") * HOT_SHARE >= total
+    more = [c for c in right.columns if c not in on and c != "n"]
+    marked = left.join(F.broadcast(right.where(hot).select(*on, *more, F.lit(True).alias("_hot"))), on, "left")
+    rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).select(*on, *more), on, how)
+    return marked.where("_hot").select(*left.columns, *more).unionByName(rest.select(*left.columns, *more))
+
+
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with their first node's least neighbour beside them; a hub's minimum comes from partial ones and is broadcast."""
+    return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], total)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -48,16 +61,16 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: in
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.put(e, "edges")
-    mark = None
+    mark, total = None, e.count()
     for _ in range(most):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = _least(large)
+        large = _least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _least(large, total)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = scratch.put(small, "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(e)
-        e = new
+        e, total = new, now[0]
         if now == mark:
             break
         mark = now

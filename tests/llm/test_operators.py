@@ -170,6 +170,27 @@ def test_near_dedup_keeps_one_of_each(spark, corpus):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_links_through_repeated_ids_and_wide_clusters(spark, monkeypatch):
+    r = random.Random(6)
+    a, b = sentence(r, 80, 9999), sentence(r, 80, 9999)
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (3, b + " more", "s"), (3, b + " more", "s"), (None, a, "s"), (4, "", "s")]
+    got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+    out = sorted((x.doc_id or 0, x.text) for x in minhash.near_dedup(table(spark, rows)).collect())
+    assert out == sorted([(0, a), (1, a), (1, b), (4, "")])
+    # a chain, whose ends are far apart, over many blocks, beside a dense group that is a candidate but not linked
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    w = sentence(r, 100, 99999).split(" ")
+    rows = []
+    for i in range(60):
+        w[(7 * i) % len(w)] = f"edit{i}"
+        rows.append((i, " ".join(w), "s"))
+    far = [f"far{i}" if i % 14 == 0 else x for i, x in enumerate(rows[0][1].split(" "))]
+    rows += [(100 + i, " ".join([*far, f"t{i}"]), "s") for i in range(40)]
+    got = by_id(minhash.near_duplicates(table(spark, rows)))
+    assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == near_components(rows)
+
+
 def test_common_sizes():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in (0, 1, 50, 200, 120, 120)]
