@@ -58,7 +58,7 @@ BATCH_BYTES = 1 << 24
 CONTEXT_BATCH = 1 << 22
 CHUNK = 1 << 20
 #: Bytes of text, and of contexts, for each bucket.
-BUCKET_TEXT = 48 << 20
+BUCKET_TEXT = 12 << 20
 BUCKET_CONTEXTS = 2 << 20
 HOT_CONTEXTS = 1 << 13
 #: Documents with ambiguous ids up to which they are broadcast.
@@ -507,7 +507,8 @@ def repeated_spans(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     base, size = _told_apart(docs, scratch)
-    least = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # several buckets for each partition of a shuffle, which evens out what falls together
+    least = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-size // BUCKET_TEXT))
     own = base.where("doc_id is not null and text is not null").select("doc_id", "sub", "text")
     rows = own.mapInArrow(_anchor_rows(parts), "p long, payload binary")

@@ -419,6 +419,32 @@ def test_embedding_links(spark, n):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(5000, 5007))
 
 
+def test_embedding_links_in_double_precision_and_of_repeated_ids(spark, monkeypatch):
+    x = [1.0, 2.0, 3.0, 4.0]
+    far = [4.0, -3.0, 2.0, -1.0]
+    rows = [(1, x), (2, [v * 1e39 for v in x]), (3, [v * 1e300 for v in x]), (4, [v * 1e-320 for v in far]), (5, [v * 4e307 for v in far]), (6, [1.0, float("inf"), 0.0, 0.0]), (None, x)]
+    rows += [(7, [0.0, 0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.0, 0.0]), (8, [0.0, 0.0, 1.0, 1e-9]), (9, [0.0, 1.0, 1e-9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in ("rep", "raw", "dims", "n", "label", "component", "kept")})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in hnsw.embedding_links(df).collect())
+    # a denormal vector keeps few digits but still a direction
+    assert got == [(0, 0, 0), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7)]
+    # just above and below the limit, which single precision does not tell apart
+    at = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(1, [1.0, 0.0]), (2, at(0.9 + 1e-12)), (3, at(0.9 - 1e-12))]
+    got = {r.vec_id: r.n_links for r in hnsw.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_audits_see_linked_queries(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 1 << 16)
+    x = vectors(np.random.default_rng(3), 1200)
+    x[600:900] = x[0] + np.random.default_rng(4).normal(size=(300, 16)) * 0.02  # a dense group
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    seen = hnsw.recall_audit(df).collect()
+    assert {r.shard for r in seen} == set(range(8)) and sum(r.queries for r in seen) == 8 * len({v.tobytes() for v in x})
+    assert all(r.linked_queries >= min(hnsw.AUDIT, 1) and r.complete_queries >= hnsw.RECALL * r.linked_queries and r.found_links >= 0.999 * r.links for r in seen)
+
+
 def test_graph_recall_against_brute_force():
     r = np.random.default_rng(7)
     x = vectors(r, 3000, 32).astype(np.float64)
