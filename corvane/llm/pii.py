@@ -19,6 +19,10 @@ The first four are kept whenever their check passes.  Further kinds (iban by mod
 ssn, key) are kept from a score of 0.5: an expression alone gives 0.3, a
 checksum or a fixed prefix 0.6, context words within 50 code points add 0.3.
 
+Long texts with many matches stay near linear: ends come from a scan by doubling (log n passes over
+the lengths), and contexts and pieces are cut from chunks of ``CHUNK`` code points, never from the
+start of the text.  Overlaps are united by a running maximum from the same scan.
+
 Cases: null text is empty and has no spans; a null id is kept; repeated rows give
 repeated results; an empty table gives an empty result; further columns do not
 matter.  Offsets are code points, ends exclusive.
@@ -35,6 +39,7 @@ from .store import unpack_row, with_row
 
 CONTEXT = 50
 THRESHOLD = 0.5
+CHUNK = 512
 _LOCAL = "A-Za-z0-9._%+-"
 
 
@@ -98,40 +103,68 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _ibans(heads: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: a lambda binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, join) -> Column:
+    """Running ``join`` of an array: log n passes, each a whole new array, so nothing is appended."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") - 1, F.lit(0)))
+    powers = F.transform(steps, lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(powers, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, join(x, F.get(acc, i - k))).otherwise(x)))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` (0-based) of a text in chunks; linear in what is cut."""
+    first = F.floor(start / CHUNK).cast("int")
+    many = F.floor((start % CHUNK + length) / CHUNK).cast("int") + 1
+    within = F.slice(chunks, first + 1, F.greatest(F.least(many, F.size(chunks) - first), F.lit(0)))
+    return F.when((length <= 0) | (first >= F.size(chunks)), F.lit("")).otherwise(F.array_join(within, "").substr((start % CHUNK + 1).cast("int"), length.cast("int")))
+
+
+def _ibans(heads: Column, chunks: Column) -> Column:
     """Valid IBANs, left to right without overlaps, from the places of their first four characters."""
     body = lambda codes, n: rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}"
     of_length = "|".join(body(codes.replace(" ", "|"), n) for n, codes in IBAN_LENGTHS.items())
     codes = "|".join(" ".join(IBAN_LENGTHS.values()).split(" "))
 
     def whole(s: Column) -> Column:
-        ahead = F.col("text").substr(s["start"] + 1, F.lit(68))  # 34 characters, the spaces between them and the next one
-        ends = F.array(*[F.regexp_extract(ahead, rf"^{body('[A-Z]{2}', n)}(?![A-Za-z0-9])", 0) for n in range(34, 14, -1)])
-        ends = F.when(ahead.rlike(f"^(?:{codes})"), F.array(F.regexp_extract(ahead, rf"^(?:{of_length})(?![A-Za-z0-9])", 0))).otherwise(ends)
-        match = F.get(F.filter(ends, lambda m: F.when(m != "", mod97(m)).otherwise(False)), F.lit(0))
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(match)).alias("end"), match.alias("match"))
+        def look(ahead: Column) -> Column:
+            ends = F.array(*[F.regexp_extract(ahead, rf"^{body('[A-Z]{2}', n)}(?![A-Za-z0-9])", 0) for n in range(34, 14, -1)])
+            ends = F.when(ahead.rlike(f"^(?:{codes})"), F.array(F.regexp_extract(ahead, rf"^(?:{of_length})(?![A-Za-z0-9])", 0))).otherwise(ends)
+            match = F.get(F.filter(ends, lambda m: F.when(m != "", mod97(m)).otherwise(False)), F.lit(0))
+            return _let(match, lambda m: F.struct(s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("match")))
+
+        # 34 characters, the spaces between them and the next one
+        return _let(_cut(chunks, s["start"], F.lit(68)), look)
+
+    def apart(found: Column) -> Column:
+        # an IBAN that begins inside the last one taken goes; a chain of overlaps is walked, most have none
+        ends = _scan(F.transform(found, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        return _let(ends, lambda e: F.filter(found, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(F.get(e, i - 1), F.lit(0)))))
+
+    def taken(found: Column) -> Column:
+        last = lambda acc: F.get(acc, F.size(acc) - 1)["end"]
+        walk = F.aggregate(found, F.array().cast("array<struct<start:int,end:int,match:string>>"), lambda acc, s: F.when(F.coalesce(s["start"] >= last(acc), F.lit(True)), F.concat(acc, F.array(s))).otherwise(acc))
+        clean = apart(found)
+        return F.when(F.size(clean) == F.size(found), found).otherwise(walk)
 
-    found = F.filter(F.transform(heads, whole), lambda s: s["match"].isNotNull())
-    last = lambda acc: F.get(acc, F.size(acc) - 1)["end"]
-    return F.aggregate(found, F.array().cast("array<struct<start:int,end:int,match:string>>"), lambda acc, s: F.when(F.coalesce(s["start"] >= last(acc), F.lit(True)), F.concat(acc, F.array(s))).otherwise(acc))
+    return _let(F.filter(F.transform(heads, whole), lambda s: s["match"].isNotNull()), taken)
 
 
 def _spans(kind: Kind) -> Column:
-    """Confirmed spans of a kind from its matches (column _m) and the pieces between them (column _g)."""
+    """Confirmed spans of a kind from its matches (column _m), the pieces between them (column _g) and the text's chunks (column _c)."""
+    m, g, c = F.col("_m"), F.col("_g"), F.col("_c")
     # the end of every match: the running sum of the lengths of pieces and matches
-    ends = F.aggregate(
-        F.zip_with(F.col("_m"), F.slice(F.col("_g"), F.lit(1), F.size("_m")), lambda m, g: F.length(m) + F.length(g)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
-        lambda acc: acc["ends"],
-    )
-    found = F.zip_with(F.col("_m"), ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
-    checked = _ibans(found) if kind.name == "iban" else F.filter(found, lambda s: _valid(kind.name, s["match"]))
+    lengths = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, y: F.length(x) + F.length(y))
+    found = _let(_scan(lengths, lambda x, y: x + y), lambda ends: F.zip_with(m, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("match"))))
+    checked = _let(found, lambda f: _ibans(f, c)) if kind.name == "iban" else F.filter(found, lambda s: _valid(kind.name, s["match"]))
     words = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{kind.context})"
 
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.concat(F.col("text").substr(first + 1, s["start"] - first), F.lit(" "), F.col("text").substr(s["end"] + 1, F.lit(CONTEXT)))
+        near = F.concat(_cut(c, first, s["start"] - first), F.lit(" "), _cut(c, s["end"], F.lit(CONTEXT)))
         score = F.lit(kind.confirmed) + F.when(near.rlike(words), F.lit(0.3)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
@@ -143,16 +176,24 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` never null and a column of spans for each kind (``_email``, ``_ip``, ...)."""
+    """``docs`` with ``text`` never null, its chunks where it has matches (``_c``), and a column of spans for each kind (``_email``, ``_ip``, ...)."""
     out = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keep = list(out.columns)
+    keep = [c for c in out.columns if c != "_c"]
+    strings = F.array().cast("array<string>")
     for kind in KINDS:
-        pattern = F.lit(kind.pattern)
-        out = out.withColumn("_m", F.when(F.expr(kind.hint), F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
-        # places are worked out only where there are matches
-        out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", kind.pattern, -1)).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(f"_{kind.name}_m", F.when(F.expr(kind.hint), F.regexp_extract_all("text", F.lit(kind.pattern), F.lit(0))).otherwise(strings))
+    # places are worked out only where there are matches
+    some = F.lit(False)
+    for kind in KINDS:
+        some = some | (F.size(f"_{kind.name}_m") > 0)
+    out = out.withColumn("_c", F.when(some, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(strings))
+    keep.append("_c")
+    for n, kind in enumerate(KINDS):
+        later = [f"_{k.name}_m" for k in KINDS[n + 1 :]]
+        out = out.withColumn("_m", F.col(f"_{kind.name}_m"))
+        out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", kind.pattern, -1)).otherwise(strings))
         keep.append(f"_{kind.name}")
-        out = out.withColumn(f"_{kind.name}", F.when(F.size("_m") > 0, _spans(kind)).otherwise(F.array()).cast(_SPAN)).select(*keep)
+        out = out.withColumn(f"_{kind.name}", F.when(F.size("_m") > 0, _spans(kind)).otherwise(F.array()).cast(_SPAN)).select(*keep, *later)
     return out
 
 
@@ -170,6 +211,30 @@ def pii_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), scores.alias("scores"))
 
 
+def _redacted(spans: Column, chunks: Column) -> Column:
+    """A text in chunks with its spans (in order of their starts, one at least) replaced; overlapping ones become one, named after the first."""
+
+    def rewrite(ends: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.coalesce(F.get(ends, i - 1), F.lit(0))))
+
+        def pieces(h: Column) -> Column:
+            n = F.size(h)
+            end = lambda j: F.get(ends, F.coalesce(F.get(h, j + 1), F.size(spans)) - 1)
+
+            def piece(i: Column, j: Column) -> Column:
+                at = F.when(j > 0, end(j - 1)).otherwise(0)
+                s = F.get(spans, i)
+                return F.concat(_cut(chunks, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+            last = end(n - 1)
+            tail = _cut(chunks, last, F.size(chunks) * CHUNK - last)
+            return F.concat(F.array_join(F.transform(h, piece), ""), tail)
+
+        return _let(heads, pieces)
+
+    return _let(_scan(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), rewrite)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``n_chars`` follows.
 
@@ -178,22 +243,9 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find_spans(with_row(docs, text=F.col("text").cast("string")))
     every = F.concat(*[F.col(f"_{k.name}") for k in KINDS])
     spans = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = "struct<done:array<struct<start:int,end:int,kind:string>>,start:int,end:int,kind:string>"
-    start = F.from_json(F.lit('{"done":[],"start":-1,"end":-1,"kind":""}'), state)
-
-    def merge(acc: Column, s: Column) -> Column:
-        closed = F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["kind"].alias("kind"))))
-        joined = F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"), acc["kind"].alias("kind"))
-        fresh = F.struct(closed.alias("done"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return F.when(s["start"] < acc["end"], joined).otherwise(fresh)
-
-    # the first closed span is the empty start, so each later one has a predecessor to begin its piece at
-    merged = F.aggregate(spans, start, merge, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["kind"].alias("kind")))))
-    out = found.withColumn("_all", F.when(F.size(spans) > 0, merged))
-    cut = F.col("_all")
-    piece = F.zip_with(F.slice(cut, F.lit(1), F.size(cut) - 1), F.slice(cut, F.lit(2), F.size(cut) - 1), lambda a, b: F.concat(F.col("text").substr(F.greatest(a["end"], F.lit(0)) + 1, b["start"] - F.greatest(a["end"], F.lit(0))), F.lit("["), F.upper(b["kind"]), F.lit("]")))
-    tail = F.col("text").substr(F.element_at(cut, -1)["end"] + 1, F.length("text"))
-    clean = F.when(cut.isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail))
-    changed = cut.isNotNull()
-    n_chars = F.when(changed, F.length(clean)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else F.lit(None)
-    return unpack_row(out, docs, text=F.when(changed, clean).otherwise(F.col("row").getField("text")), n_chars=n_chars)
+    out = found.select("row", "_c", spans.alias("_s"))
+    clean = F.when(F.size("_s") > 0, _let(F.col("_s"), lambda s: _redacted(s, F.col("_c"))))
+    out = out.select("row", clean.alias("_clean"))
+    changed = F.col("_clean").isNotNull()
+    n_chars = F.when(changed, F.length("_clean")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else F.lit(None)
+    return unpack_row(out, docs, text=F.when(changed, F.col("_clean")).otherwise(F.col("row").getField("text")), n_chars=n_chars)

@@ -271,6 +271,19 @@ def test_ibans_before_capitals_and_digits(spark):
     assert (out[0].text, out[4].text) == ("iban [IBAN] Please pay", "iban [IBAN] [IBAN] 17")
 
 
+def test_pii_of_a_long_text_with_many_matches(spark):
+    text = "\n".join(f"é contact user{i}@mail{i % 7}.example.com 10.0.{i % 250}.1 GB82 WEST 1234 5698 7654 32 now" for i in range(3000))
+    docs = table(spark, [(1, text, "s")])
+    g = by_id(pii.pii_report(docs))[1]
+    want = base_spans(text)
+    assert g.spans.split(",")[: len(want)] == want and g.n_iban == 3000
+    marked = text
+    for k, p in [("email", BASE[0][1]), ("ip", BASE[1][1]), ("iban", r"GB82 WEST 1234 5698 7654 32")]:
+        marked = re.sub(p, f"[{k.upper()}]", marked)
+    out = by_id(pii.redact(docs))[1]
+    assert out.text == marked and out.n_chars == len(marked)
+
+
 def test_redaction(spark):
     docs = table(spark, [(1, "a x@y.zz b 1.2.3.4\n+1 555 123 4567", "s"), (2, None, "s"), (3, "clean", "s"), (4, "\U0001f600 x@y.zz", "s"), (5, "+4111 1111 1111 1111 1", "s")])
     out = by_id(pii.redact(docs))
