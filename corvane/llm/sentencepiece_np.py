@@ -9,6 +9,11 @@ the longest piece probe the sorted keys of the pieces, and at each position a
 vectorised maximum over the lengths stores score and backpointer.  Code points
 without a piece are encoded as their UTF-8 bytes.
 
+A unit above ``LONG`` code points is cut first, where its best segmentation has a cut: windows
+of it advance together, once for each place near a window's begin at which the last piece may
+have ended; the windows' tables of best sums (from such a place to such a place) are then
+combined in order.  What lies between two cuts is an ordinary unit.
+
 The search takes the segmentation with the highest sum of scores.  For a model of
 the unigram type that is its own encoding; a model of the BPE type would merge
 greedily instead, and its scores (minus a merge's rank) are used as they are.  The
@@ -17,7 +22,7 @@ encoded as bytes, so it comes back too.
 
 Cases: null text counts as empty and has no tokens; a null id is kept; texts and
 units of any length are encoded whole; equal sums of scores take the longer last
-piece; repeated rows give repeated results; an empty table gives an empty result;
+piece (in a unit above ``LONG``, inside a window's stretch); repeated rows give repeated results; an empty table gives an empty result;
 further columns do not matter.
 """
 
@@ -35,6 +40,8 @@ from .textnum import mix, pieces, powers
 
 SPACE = 0x2581
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
+LONG = 2048
+WINDOW = 1024
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -153,7 +160,68 @@ def _bytes_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw, 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
 
+def _window_sums(v: Vocabulary, points: np.ndarray) -> np.ndarray:
+    """Best sums of n windows (rows of K - 1 code points before the window, then the window) as n x K x K: from a last cut e places before the begin to one f places before the end."""
+    n, size = points.shape
+    most = v.longest
+    h = np.zeros((n, size + 1), dtype=np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers(_BASE, size), axis=1, out=h[:, 1:], dtype=np.uint64)
+    inverse = powers(_INVERSE, size + 1)
+    score = np.full((size + 1, n, most), -np.inf)  # by end, window, and place of the begin among the K before the end
+    for length in range(1, min(size, most) + 1):
+        key = _finish((h[:, length:] - h[:, : size + 1 - length]) * inverse[: size + 1 - length], [length])
+        at = np.searchsorted(v.keys, key)
+        at[at == len(v.keys)] = 0
+        score[length:, :, most - length] = np.where(v.keys[at] == key, v.scores[at], v.unknown if length == 1 else -np.inf).T
+    best = np.full((n, most, size + 1), -np.inf)
+    for e in range(most):
+        best[:, e, most - 1 - e] = 0
+    for j in range(most, size + 1):
+        best[:, :, j] = (best[:, :, j - most : j] + score[j][:, None, :]).max(axis=2)
+    return best[:, :, : size - most : -1]
+
+
+def _cuts(v: Vocabulary, points: np.ndarray) -> np.ndarray:
+    """Places at which a best segmentation of a long unit has cuts, about one for each window."""
+    most, width = v.longest, max(WINDOW, v.longest)
+    n = len(points) // width - 1  # the rest, one to two windows long, is the last stretch
+    padded = np.concatenate((np.full(most - 1, LITERAL + 1, dtype=points.dtype), points))
+    best, back = np.full(most, -np.inf), []
+    best[0] = 0
+    for at in range(0, n, 64):
+        some = np.arange(at, min(at + 64, n))
+        for table in _window_sums(v, padded[some[:, None] * width + np.arange(width + most - 1)]):
+            tried = best[:, None] + table
+            back.append(tried.argmax(axis=0))
+            best = tried.max(axis=0)
+    last = _window_sums(v, padded[None, n * width :])[0][:, 0]
+    e = int((best + last).argmax())
+    cuts = []
+    for w in range(n - 1, -1, -1):
+        cuts.append((w + 1) * width - e)
+        e = int(back[w][e])
+    return np.array(cuts[::-1], dtype=np.int64)
+
+
 def encode_units(v: Vocabulary, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all identifiers, number of them by unit) for units given as ranges of code points."""
+    long = np.flatnonzero(size > max(LONG, 2 * v.longest))
+    if not len(long):
+        return _encode_units(v, points, start, size)
+    inner = {int(u): _cuts(v, points[start[u] : start[u] + size[u]]) for u in long}
+    parts = np.ones(len(start), dtype=np.int64)
+    parts[long] += [len(inner[int(u)]) for u in long]
+    begin = np.repeat(start, parts)
+    first = np.cumsum(parts) - parts
+    for u in long:
+        begin[first[u] + 1 : first[u] + parts[u]] += inner[int(u)]
+    end = np.append(begin[1:], 0)
+    end[first + parts - 1] = start + size
+    ids, counts = _encode_units(v, points, begin, end - begin)
+    return ids, np.add.reduceat(counts, first)
+
+
+def _encode_units(v: Vocabulary, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all identifiers, number of them by unit) for units given as ranges of code points."""
     counts = np.zeros(len(start), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

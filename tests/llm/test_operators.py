@@ -553,6 +553,57 @@ def test_viterbi_reaches_the_best_score(spark, unique, vocabulary):
         assert library.decode(own.tolist()) == text
 
 
+def test_long_units_are_cut_exactly(spark, vocabulary, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(sentencepiece_np, "LONG", 40)
+    monkeypatch.setattr(sentencepiece_np, "WINDOW", 20)
+    for alphabet in ("ab", "thequickandthe", "étà日本語x", "aaaaab"):
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(300, 900)))
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        score = lambda ids: sum(s.get(int(i), vocabulary.unknown) for i in ids)
+        s = dict(zip(vocabulary.ids.tolist(), vocabulary.scores.tolist(), strict=True))
+        got, _ = sentencepiece_np.encode_slice(vocabulary, raw, np.array([0, len(raw)]))
+        points = np.frombuffer(("▁" + text).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        whole, _ = sentencepiece_np._encode_units(vocabulary, points, np.array([0]), np.array([len(points)]))
+        assert score(got) == score(whole) and len(got) > 10
+        back, _ = sentencepiece_np.decode_slice(vocabulary, got, np.array([len(got)]))
+        assert back.tobytes().decode() == text
+
+
+def test_fallback_bytes_reach_the_best_score(vocabulary):
+    """Brute force over all segmentations, with code points that have no piece."""
+    r = random.Random(12)
+    have = {}
+    import public_tokenizers
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for i in range(m.get_piece_size()):
+        if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
+            have[m.id_to_piece(i)] = m.get_score(i)
+    for _ in range(60):
+        text = "".join(r.choice("ab 🧿ሴthe") for _ in range(r.randrange(1, 14)))
+        whole = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-math.inf] * len(whole)
+        for j in range(1, len(whole) + 1):
+            for k in range(max(0, j - vocabulary.longest), j):
+                x = have.get(whole[k:j], vocabulary.unknown if j - k == 1 else -math.inf)
+                best[j] = max(best[j], best[k] + x)
+        raw = text.encode()
+        ids, _ = sentencepiece_np.encode_slice(vocabulary, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        is_byte = {int(b): k for k, b in enumerate(vocabulary.byte_ids)}
+        own, at = 0.0, 0
+        while at < len(ids):
+            i = int(ids[at])
+            if i in is_byte:
+                lead = is_byte[i]
+                at += 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+                own += vocabulary.unknown
+            else:
+                own, at = own + have[m.id_to_piece(i)], at + 1
+        assert own == best[-1], text
+
+
 def test_sentencepiece_round_trip(spark, unique):
     enc = sentencepiece_np.encode_documents(table(spark, unique))
     got = by_id(enc)
