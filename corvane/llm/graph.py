@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +55,53 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
     return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], total)
 
 
+CONTRACT = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the edges that a task has, a million at a time, as (node, root)."""
+    us, vs, size = [], [], 0
+
+    def send() -> pa.RecordBatch:
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for b in batches:
+        us.append(b.column(0).to_numpy(zero_copy_only=False))
+        vs.append(b.column(1).to_numpy(zero_copy_only=False))
+        size += b.num_rows
+        if size >= CONTRACT:
+            yield send()
+            us, vs, size = [], [], 0
+    if size:
+        yield send()
+
+
+def _round(e: DataFrame, total: int) -> DataFrame:
+    both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    small = _least(large, total)
+    return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (two long columns ``u``, ``v``).
 
     component is the least id that links reach.  Null ends and self-links are
-    ignored; repeated links count once; no links give an empty table.  Each round
-    is written to the shared folder.
+    ignored; repeated links count once; no links give an empty table.  Tasks first contract what
+    they hold; each round is written to the shared folder, until only stars are left.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = scratch.put(e, "edges")
-    mark, total = None, e.count()
+    e = scratch.put(edges.where("u <> v").select("u", "v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
     for _ in range(most):
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = _least(large, total)
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = scratch.put(small, "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
-        e, total = new, now[0]
-        if now == mark:
+        # stars around their least node: every node has one edge up, and none leads on
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e")).select("e.*")
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        total, open_ = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0)))).first()
+        if not open_:
             break
-        mark = now
+        new = scratch.put(_round(e, total), "edges")
+        scratch.drop(e)
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

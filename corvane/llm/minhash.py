@@ -44,7 +44,7 @@ BAND_ROWS = 4
 PERCENT = 75
 #: A pair at 0.75 agrees in fewer of its 160 values than this with a probability of about 5e-6.
 LEAST_AGREEMENT = 96
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(0x3A9)
@@ -233,8 +233,12 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     member = buckets.select("bucket", "rep").join(cluster.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     member = scratch.put(member.join(sig.select(F.col("id").alias("rep"), "n_shingles"), "rep"), "members")
     mixed = _apart(member.where("bucket is not null"), total).join(sig.toDF("rep", "n_shingles", "signature"), "rep")
-    crossed = scratch.put(mixed.groupBy("bucket", "i", "j").applyInPandas(_cross, "u long, v long"), "crossed")
-    return scratch.put(components(spark, stars.unionAll(crossed), scratch), "clusters").toDF("rep", "bucket")
+    # few bytes and much work: dealt to as many tasks as a shuffle has
+    dealt = mixed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
+    crossed = scratch.put(dealt.groupBy("bucket", "i", "j").applyInPandas(_cross, "u long, v long"), "crossed")
+    if not crossed.limit(1).count():
+        return cluster.toDF("rep", "bucket")
+    return scratch.put(components(spark, cluster.toDF("u", "v").unionAll(crossed), scratch), "clusters").toDF("rep", "bucket")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, cluster: DataFrame, scratch: Scratch) -> DataFrame:
