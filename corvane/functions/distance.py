@@ -13,10 +13,11 @@ precision.  More metrics can be registered by name.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,18 +71,50 @@ def arrow_distance(v: Column, op: str, q: list[float]) -> Column:
     # a registered kernel travels with the function; executors have no registry
     own = _EXTRA.get(op)
 
-    @F.pandas_udf("double")
-    def run(vectors: pd.Series) -> pd.Series:
-        fits = vectors.map(lambda a: a is not None and len(a) == len(query)).to_numpy(dtype=bool)
-        out = np.full(len(vectors), np.nan)
-        if fits.any():
-            x = np.stack(vectors[fits].to_list()).astype(np.float64)
+    @F.arrow_udf("double")
+    def run(vectors: pa.Array) -> pa.Array:
+        # the lists' one buffer of values, reshaped; no Python object for a row or a number
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(query)), False)
+        some = vectors.filter(fits)
+        fits = fits.to_numpy(zero_copy_only=False)
+        out = np.full(len(fits), np.nan)
+        if len(some):
+            x = some.flatten().to_numpy(zero_copy_only=False).reshape(len(some), len(query)).astype(np.float64)
             out[fits] = own(x, query) if own else kernel(op, x, query)
-        return pd.Series(out).where(pd.Series(fits), None)
+        return pa.array(out, mask=~fits)
 
     return run(v)
 
 
+def nearest_of(op: str, queries: list[list[float]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches (query, id, embedding) that leaves the ``k`` nearest of each query in a task, as (query, id, distance)."""
+    wanted = np.asarray(queries, dtype=np.float64)
+    own = _EXTRA.get(op)
+
+    def best(q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, d, q))
+        q, ids, d = q[order], ids[order], d[order]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < k
+        return q[keep], ids[keep], d[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1).astype(np.float64)
+            d = np.empty(len(q))
+            for one in np.unique(q):
+                some = q == one
+                d[some] = own(x[some], wanted[one]) if own else kernel(op, x[some], wanted[one])
+            kept = best(*(np.concatenate(p) for p in zip(kept, (q, ids, d), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0].astype(np.int32)), pa.array(kept[1]), pa.array(kept[2])], names=["query", "id", "distance"])
+
+    return run
+
+
 def distance(v: Column, op: str, q: list[float]) -> Column:
     """The distance of a vector column to a query; NULL for a NULL vector or one of another length."""
     q = [float(x) for x in q]

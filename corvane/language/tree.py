@@ -117,6 +117,7 @@ class Select:
     where: object = None
     order: tuple[Order, ...] = ()
     limit: int | None = None
+    ann: int | None = None  # approximate, with this beam; 0: the index's own
 
 
 @dataclass(frozen=True)

@@ -1,10 +1,11 @@
 """Posting tables: secondary indexes as Parquet, ordered by their key.
 
-A posting is (tag, s, i, d, b, id).  Hash and btree indexes hold scalar values, a btree one
-ordered so that row groups are skipped for ranges; an inverted index holds the
-members of arrays.  An index answers an atom only where its answer is the scan's:
-tags keep types apart, integers and doubles compare with each other as in scans,
-and IS NOT NULL is not answered, as an index may not hold every kind of value.
+A posting is (tag, s, i, d, b, id).  Hash and btree indexes hold a row for every value (of arrays and
+maps just the tag), an inverted one the members of arrays and, with the tag of presence, a
+row for every value; so all three answer IS NOT NULL.  Rows are dealt by ranges of (value, id), so a common
+value is spread over files and row groups are skipped for values and ranges alike.  An index answers an
+atom only where its answer is the scan's: tags keep types apart, integers and doubles compare with
+each other as in scans.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..language import tree as t
 
+PRESENT = "p"
 POSTING = "t string, s string, i bigint, d double, b boolean, id bigint"
 
 
@@ -24,13 +26,12 @@ def build(rows: DataFrame, field: str, method: str) -> DataFrame:
     v = F.try_element_at(F.col("metadata"), F.lit(field))
     if method == "inverted":
         member = rows.select("id", F.explode(F.when(v["t"] == "a", v["a"])).alias("v")).where("v.t <> 'j'").distinct()
+        here = rows.where(v.isNotNull()).select(F.lit(PRESENT).alias("t"), *[F.lit(None).cast(k).alias(c) for c, k in (("s", "string"), ("i", "bigint"), ("d", "double"), ("b", "boolean"))], "id")
+        out = member.select("v.t", "v.s", "v.i", "v.d", "v.b", "id").unionAll(here)
     else:
-        member = rows.select("id", v.alias("v")).where("v.t in ('s', 'i', 'f', 'b')")
-    out = member.select("v.t", "v.s", "v.i", "v.d", "v.b", "id")
+        out = rows.select("id", v.alias("v")).where("v is not null").select("v.t", "v.s", "v.i", "v.d", "v.b", "id")
     number = F.coalesce(F.col("i").cast("double"), F.col("d"))
-    if method == "btree":
-        return out.repartitionByRange(F.col("s"), number).sortWithinPartitions("s", number, "b", "id")
-    return out.repartition("t", "s", "i", "d", "b").sortWithinPartitions("s", number, "b", "id")
+    return out.repartitionByRange(F.col("s"), number, F.col("b"), F.col("id")).sortWithinPartitions("s", number, "b", "id")
 
 
 def _test(op: str, value) -> Column | None:
@@ -46,16 +47,22 @@ def _test(op: str, value) -> Column | None:
     return ((F.col("t") == "i") & ops[op](F.col("i"), literal)) | ((F.col("t") == "f") & ~F.isnan("d") & ops[op](F.col("d"), literal))
 
 
-def _atom(p, fresh: dict[tuple[str, str], str]) -> tuple[str, Column] | None:
+Value = Callable[[object], object]
+
+
+def _atom(p, fresh: dict[tuple[str, str], str], value: Value) -> tuple[str, Column] | None:
     """(index, condition on its postings) that answers an atom."""
     ref = getattr(p, "field", None)
     if ref is None or ref.key is not None or ref.name.lower() == "id":
         return None
     scalar = fresh.get((ref.name, "hash")) or fresh.get((ref.name, "btree"))
     ordered = fresh.get((ref.name, "btree"))
-    if isinstance(p, t.Compare) and isinstance(p.value, t.Literal):
+    if isinstance(p, t.IsNull) and p.negated:
+        members = fresh.get((ref.name, "inverted"))
+        return (scalar, F.lit(True)) if scalar else (members, F.col("t") == PRESENT) if members else None
+    if isinstance(p, t.Compare):
         name = scalar if p.op in ("=", "!=") else ordered
-        return (name, _test(p.op, p.value.value)) if name else None
+        return (name, _test(p.op, value(p.value))) if name else None
     if isinstance(p, t.In) and scalar:
         out = F.lit(False)
         for v in p.values:
@@ -69,40 +76,27 @@ def _atom(p, fresh: dict[tuple[str, str], str]) -> tuple[str, Column] | None:
     return None
 
 
-def evaluate(p, fresh: dict[tuple[str, str], str], postings: Callable[[str], DataFrame]) -> DataFrame | None:
-    """Distinct ids that satisfy ``p`` by indexes alone, or None if they can't tell."""
-    if isinstance(p, t.And):
-        parts = [evaluate(x, fresh, postings) for x in p.parts]
-        if any(x is None for x in parts):
-            return None
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.join(x, "id", "left_semi")
-        return out
-    if isinstance(p, t.Or):
-        parts = [evaluate(x, fresh, postings) for x in p.parts]
+def evaluate(p, fresh: dict[tuple[str, str], str], postings: Callable[[str], DataFrame], value: Value) -> DataFrame | None:
+    """Distinct ids that satisfy ``p`` by indexes alone, or None if they can't tell; ``value`` gives literals and parameters."""
+    if isinstance(p, (t.And, t.Or)):
+        parts = [evaluate(x, fresh, postings, value) for x in p.parts]
         if any(x is None for x in parts):
             return None
         out = parts[0]
         for x in parts[1:]:
-            out = out.unionAll(x)
-        return out.distinct()
-    answer = _atom(p, fresh)
+            out = out.join(x, "id", "left_semi") if isinstance(p, t.And) else out.unionAll(x)
+        return out if isinstance(p, t.And) else out.distinct()
+    answer = _atom(p, fresh, value)
     return None if answer is None else postings(answer[0]).where(answer[1]).select("id")
 
 
-def split(p, fresh: dict[tuple[str, str], str], postings: Callable[[str], DataFrame]) -> tuple[DataFrame | None, object]:
-    """(ids by indexes, what is left to test): parts of an AND that indexes can't answer stay a filter."""
-    whole = evaluate(p, fresh, postings)
-    if whole is not None:
-        return whole, None
-    if not isinstance(p, t.And):
-        return None, p
+def split(p, fresh: dict[tuple[str, str], str], postings: Callable[[str], DataFrame], value: Value, worth: Callable[[object], bool] = lambda p: True) -> tuple[DataFrame | None, object]:
+    """(ids by indexes, what is left to test): parts of an AND that indexes can't answer, or aren't worth it, stay a filter."""
     ids, rest = None, []
-    for x in p.parts:
-        got = evaluate(x, fresh, postings)
+    for x in p.parts if isinstance(p, t.And) else [p]:
+        got = evaluate(x, fresh, postings, value) if worth(x) else None
         if got is None:
             rest.append(x)
         else:
             ids = got if ids is None else ids.join(got, "id", "left_semi")
-    return ids, rest[0] if len(rest) == 1 else t.And(tuple(rest))
+    return ids, None if not rest else rest[0] if len(rest) == 1 else t.And(tuple(rest))

@@ -13,15 +13,34 @@ from ..language import tree as t
 
 BUCKETS = 20
 TOP = 16
-#: Rows up to which a histogram is cut exactly; the window behind it puts a column in one order.
-EXACT_ROWS = 10_000_000
+INTERVALS = 200
+#: Keys of bags for which statistics are kept, the most frequent ones; a bag's keys are user data and have no bound.
+KEYS = 4096
 
 
 def equi_depth(df: DataFrame, column: Column, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, low, high, n): chunks of the ordered values, the first ones larger by one."""
+    """(bucket, low, high, n): chunks of the ordered values, the first ones larger by one; exact, as NTILE cuts them.
+
+    Values are counted first, so a common one is a row.  Approximate quantiles of the distinct values cut
+    them into intervals of about equal numbers; ranks run inside each interval, from the exact numbers of
+    values before it, of which there are ``INTERVALS`` at most.  No task orders the whole column.
+    """
     v = df.select(column.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    tile = v.withColumn("bucket", F.ntile(buckets).over(Window.orderBy("v")))
-    return tile.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    counted = v.groupBy("v").agg(F.count("*").alias("c"))
+    cuts = sorted(set(counted.agg(F.percentile_approx("v", [i / INTERVALS for i in range(1, INTERVALS)], 10_000)).first()[0] or []))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col("v"))) if cuts else F.lit(0)
+    placed = counted.select("v", "c", below.alias("interval"))
+    total = placed.groupBy("interval").agg(F.sum("c").alias("n"))
+    before = total.select("interval", F.coalesce(F.sum("n").over(Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    run = F.sum("c").over(Window.partitionBy("interval").orderBy("v"))
+    # a value's rows have the places first .. last, counted from 0
+    ranked = placed.withColumn("run", run).join(F.broadcast(before), "interval").select("v", "n", (F.col("before") + F.col("run") - F.col("c")).alias("first"), (F.col("before") + F.col("run") - 1).alias("last"))
+    size, more = F.floor(F.col("n") / buckets), F.col("n") % buckets
+    start = lambda b: b * size + F.least(b, more)
+    of = lambda at: F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    spread = ranked.withColumn("b", F.explode(F.sequence(of(F.col("first")), of(F.col("last")))))
+    own = F.least(F.col("last") + 1, start(F.col("b") + 1)) - F.greatest("first", start(F.col("b")))
+    return spread.groupBy((F.col("b") + 1).cast("int").alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum(own).cast("bigint").alias("n"))
 
 
 def equi_depth_approx(df: DataFrame, column: Column, buckets: int = BUCKETS) -> DataFrame:
@@ -72,10 +91,10 @@ def collect_stats(rows: DataFrame) -> dict:
     top = strings.unionAll(members).groupBy("k", "value").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(place)).where(F.col("r") <= TOP)
     total = rows.count()
     out: dict = {"": {"rows": total}}
-    for r in kinds.collect():  # a row for each key of the bags
+    for r in kinds.orderBy(F.desc("rows"), "k").limit(KEYS).collect():
         kind = r["kinds"][0] if len(r["kinds"]) == 1 else "mixed"
         out[r["k"]] = {"rows": r["rows"], "nulls": total - r["rows"], "distinct": 0 if kind == "mixed" else r["distinct"], "kind": kind, "quantiles": r["quantiles"], "low": r["low"], "high": r["high"], "n_true": r["n_true"], "average_length": r["average_length"], "top": []}
-    for r in top.collect():
+    for r in top.where(F.col("k").isin([k for k in out if k])).collect() if len(out) > 1 else []:
         out[r["k"]]["top"].append([r["value"], r["n"]])
     return out
 

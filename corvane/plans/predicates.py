@@ -94,7 +94,7 @@ class Compiler:
         atom = self._atom(p)
         return F.coalesce(atom, F.lit(False)) if negated else atom
 
-    def _value(self, v):
+    def value(self, v):
         if isinstance(v, t.Literal):
             return v.value
         got = self.param(v)
@@ -111,7 +111,7 @@ class Compiler:
         if isinstance(p, t.IsNull):
             return field.present if p.negated else ~field.present
         if isinstance(p, t.Compare):
-            v = self._value(p.value)
+            v = self.value(p.value)
             # NaN is largest to Spark, so < <= and = need no guard
             return _over(field, v, lambda c: _OPS[p.op](c, _literal(v)), p.op in ("<", "<=", "="))
         if isinstance(p, t.In):

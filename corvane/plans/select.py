@@ -2,7 +2,11 @@
 
 Filtered nearest neighbours are filter, distance column, order by (distance, id),
 limit: Spark runs that as a per-partition top-k.  A radius is a filter on the
-distance.  Results are exact, and ties are in order of id.
+distance.  Results are exact, and ties are in order of id.  With ANN and a fresh enough
+graph index the same plan runs over candidates only.
+
+Indexes are used for parts of a predicate that statistics, where there are any, expect
+to hold for ``INDEX_SHARE`` of the rows at most; else reading the rows is cheaper.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from ..functions.distance import distance
 from ..language import tree as t
 from ..language.binder import BoundSelect
 from ..operators import indexes
+from ..operators.stats import selectivity
 from .predicates import Compiler
 
+INDEX_SHARE = 0.3
+
 
 class SelectPlan:
     def __init__(self, collection, param: Callable[[t.Param], object]):
@@ -59,12 +66,19 @@ class SelectPlan:
             out = out & (d < x.value if x.op == "<" else d <= x.value)
         return out
 
-    def filtered(self, where, use_index: bool = True) -> DataFrame:
-        rows = self.c.rows()
+    def _worth(self, p) -> bool:
+        """Whether an index is expected to pay for a part of a predicate."""
+        stats = getattr(self.c, "stats", None)
+        share = selectivity(p, stats, self.compile.value) if stats else None
+        return share is None or share <= INDEX_SHARE
+
+    def filtered(self, where, rows: DataFrame | None = None) -> DataFrame:
+        whole = rows is None
+        rows = self.c.rows() if whole else rows
         if where is None:
             return rows
-        if use_index and self.c.writable and (fresh := self.c._fresh()):
-            ids, rest = indexes.split(where, fresh, self.c.postings)
+        if whole and self.c.writable and (fresh := self.c._fresh()):
+            ids, rest = indexes.split(where, fresh, self.c.postings, self.compile.value, self._worth)
             if ids is not None:
                 rows, where = rows.join(ids, "id", "left_semi"), rest
         return rows if where is None else rows.where(self.compile(where))
@@ -104,16 +118,25 @@ class SelectPlan:
             columns = ([F.coalesce(*number)] if number else []) + [f.typed[k] for k in ("s", "b") if k in f.typed]
         return [c.desc_nulls_last() if o.descending else c.asc_nulls_last() for c in columns]
 
+    def candidates(self, q: BoundSelect) -> DataFrame | None:
+        """The rows that a graph index proposes; None without one."""
+        if q.within:
+            d = q.within[0].distance
+            return self.c.ann_within(d.op, self.vector(d.query), q.within[0].value)
+        d = q.order[0].what
+        keep = lambda rows: self.filtered(q.where, rows)
+        return self.c.ann_nearest(d.op, self.vector(d.query), q.limit, q.ann or None, keep)
+
     def build(self, q: BoundSelect) -> DataFrame:
         if q.count_as is not None:
             if q.where is not None and not q.within and self.c.writable:
-                ids = self.c.count_by_index(q.where)
+                ids = self.c.count_by_index(q.where, self.compile.value)
                 if ids is not None:
                     return ids.agg(F.count("*").alias(q.count_as))
             rows = self.filtered(q.where)
             rows = rows.where(self.within(q.within)) if q.within else rows
             return rows.agg(F.count("*").alias(q.count_as))
-        rows = self.measured(self.filtered(q.where), q)
+        rows = self.measured(self.filtered(q.where, self.candidates(q) if q.ann is not None and self.c.writable else None), q)
         if q.within:
             rows = rows.where(self.within(q.within))
         keys = [k for o in q.order for k in self._keys(o)]

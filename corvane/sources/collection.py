@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyDeleted, BackendError, DimensionMismatch, DuplicateId, ExecutionError, IndexAlreadyExists, IndexNameInUse, InvalidVector, NotFound, UnknownIndexName
 from ..functions import values
-from ..functions.distance import distance
+from ..functions.distance import NAMES, distance, nearest_of
+from ..functions.hnsw import HnswParams
 from ..language.tree import FieldRef
-from ..operators import indexes
+from ..operators import ann, indexes
+from ..operators.ann import AnnIndex
 from ..operators.stats import collect_stats
 from ..plans.fields import BagFields, DeclaredFields, Field, declared
 from .log import Log
@@ -53,7 +55,7 @@ class ViewCollection:
     def metadata(self) -> Column:
         return F.struct(*[c.alias(n) for n, c in self.declared.fields.items()])
 
-    def count_by_index(self, where) -> None:
+    def count_by_index(self, where, value=None) -> None:
         return None
 
 
@@ -99,11 +101,14 @@ class Collection:
     """A stored collection at a path; open it again with the same call."""
 
     writable = True
+    #: Seconds for which CHECKPOINT leaves folders that no commit names, as a writer may still be filling them.
+    grace = 3600.0
 
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.log = Log(spark, self.path)
         self.state = State()
+        self._opened: dict[str, AnnIndex] = {}
         self.refresh()
         if dim is not None:
             if self.state.dim not in (None, dim):
@@ -190,19 +195,21 @@ class Collection:
     def scan_metadata(self, predicate: Column) -> DataFrame:
         return self.rows().where(predicate).select("id")
 
-    def _ranked(self, op: str, query: list[float]) -> DataFrame:
+    def _ranked(self, op: str, query: list[float], rows: DataFrame | None = None) -> DataFrame:
         self.check_query(query)
-        return self.rows().withColumn("distance", distance(F.col("embedding"), op, query)).where("distance is not null").select("id", "distance", "metadata")
+        return (self.rows() if rows is None else rows).withColumn("distance", distance(F.col("embedding"), op, query)).where("distance is not null").select("id", "distance", "metadata")
 
-    def search(self, query: list[float], k: int, op: str = "<->") -> DataFrame:
-        return self._ranked(op, query).orderBy("distance", "id").limit(k)
+    def search(self, query: list[float], k: int, op: str = "<->", ef: int | None = None) -> DataFrame:
+        """The ``k`` nearest rows; with ``ef`` by a graph index, if there is one of the metric."""
+        return self._ranked(op, query, self.ann_nearest(op, query, k, ef) if ef else None).orderBy("distance", "id").limit(k)
 
-    def search_filtered(self, query: list[float], k: int, predicate: Column, op: str = "<->") -> DataFrame:
-        return self._ranked(op, query).where(predicate).orderBy("distance", "id").limit(k)
+    def search_filtered(self, query: list[float], k: int, predicate: Column, op: str = "<->", ef: int | None = None) -> DataFrame:
+        rows = self.ann_nearest(op, query, k, ef, lambda rows: rows.where(predicate)) if ef else None
+        return self._ranked(op, query, rows).where(predicate).orderBy("distance", "id").limit(k)
 
-    def search_radius(self, query: list[float], radius: float, op: str = "<->", inclusive: bool = True) -> DataFrame:
+    def search_radius(self, query: list[float], radius: float, op: str = "<->", inclusive: bool = True, approximate: bool = False) -> DataFrame:
         d = F.col("distance")
-        return self._ranked(op, query).where(d <= radius if inclusive else d < radius).orderBy("distance", "id")
+        return self._ranked(op, query, self.ann_within(op, query, radius) if approximate else None).where(d <= radius if inclusive else d < radius).orderBy("distance", "id")
 
     def distance_to(self, id: int, query: list[float], op: str = "<->") -> float | None:
         got = self._ranked(op, query).where(F.col("id") == id).first()
@@ -359,7 +366,7 @@ class Collection:
         self.state.snapshot, self.state.deltas = folder, []
         try:
             for name, index in previous.indexes.items():
-                rebuilt[name] = self._build_index(index["field"], index["method"])
+                rebuilt[name] = self._build_index(index["field"], index["method"], index.get("params"))
             if kind == "checkpoint":
                 more |= {"stats": collect_stats(self.rows())}
         finally:
@@ -371,7 +378,7 @@ class Collection:
         number = self._commit({"kind": kind, "data": folder, "dim": self.state.dim, "indexes": rebuilt} | more)
         self.log.mark_checkpoint(number)
         # what the last state named stays until the next fold, for readers that have begun
-        self.log.sweep(kept | {folder} | {x["data"] for x in rebuilt.values()}, number)
+        self.log.sweep(kept | {folder} | {x["data"] for x in rebuilt.values()}, number, self.grace)
 
     def checkpoint(self) -> int:
         """Folds the deltas into a snapshot (deletions stay) and renews statistics and indexes; gives the commit's number."""
@@ -398,17 +405,26 @@ class Collection:
 
     # ---- indexes -------------------------------------------------------------------------------
 
-    def _build_index(self, name: str, method: str) -> dict:
+    def _build_index(self, name: str, method: str, params: dict | None = None) -> dict:
         folder = self._folder("index")
+        if method == "hnsw":
+            chosen = HnswParams(**(params or {}))
+            cells, graphs = ann.build(self.rows(), name.split(" ")[1], self.dim or 1, chosen)
+            cells.write.parquet(f"{self.path}/{folder}/cells")
+            graphs.write.option("compression", "none").partitionBy("cell").parquet(f"{self.path}/{folder}/graphs")
+            return {"field": name, "method": method, "data": folder, "at": self.state.number + 1, "params": asdict(chosen)}
         indexes.build(self.rows(), name, method).write.parquet(f"{self.path}/{folder}")
         return {"field": name, "method": method, "data": folder, "at": self.state.number + 1}
 
-    def create_index(self, name: str, field: str, method: str) -> None:
+    def create_index(self, name: str, field: str, method: str, params: HnswParams | None = None) -> None:
         if name in self.state.indexes:
             raise IndexNameInUse(f"an index named {name} exists")
         if any((i["field"], i["method"]) == (field, method) for i in self.state.indexes.values()):
             raise IndexAlreadyExists(f"{field} has a {method} index")
-        self._commit({"kind": "create_index", "name": name, "index": self._build_index(field, method)})
+        self._commit({"kind": "create_index", "name": name, "index": self._build_index(field, method, asdict(params) if params else None)})
+
+    def add_hnsw_index(self, op: str = "<->", params: HnswParams | None = None) -> None:
+        self.create_index(f"idx_embedding_hnsw_{NAMES[op]}", f"embedding {op}", "hnsw", params)
 
     def add_hash_index(self, field: str) -> None:
         self.create_index(f"idx_{field}_hash", field, "hash")
@@ -432,13 +448,74 @@ class Collection:
         changed = max([self.state.snapshot_at, *(int(d.split("/")[1].split("-")[0]) for d in self.state.deltas)])
         return {(i["field"], i["method"]): n for n, i in self.state.indexes.items() if i["at"] >= changed}
 
-    def ids_by_index(self, where) -> DataFrame | None:
+    def ids_by_index(self, where, value=lambda v: v.value) -> DataFrame | None:
         """Ids that satisfy a predicate, if fresh indexes answer it exactly; else None."""
         fresh = self._fresh()
-        return indexes.evaluate(where, fresh, self.postings) if fresh else None
+        return indexes.evaluate(where, fresh, self.postings, value) if fresh else None
+
+    def count_by_index(self, where, value=lambda v: v.value) -> DataFrame | None:
+        return self.ids_by_index(where, value)
+
+    # ---- approximate search --------------------------------------------------------------------
 
-    def count_by_index(self, where) -> DataFrame | None:
-        return self.ids_by_index(where)
+    def ann_index(self, op: str) -> tuple[AnnIndex, int] | None:
+        """(the graph index of a metric, the commit that built it); what changed since is searched beside it."""
+        for i in self.state.indexes.values():
+            if (i["field"], i["method"]) == (f"embedding {op}", "hnsw"):
+                if i["data"] not in self._opened:
+                    at = f"{self.path}/{i['data']}"
+                    self._opened = {i["data"]: AnnIndex(self.spark.read.schema(ann.CELL).parquet(f"{at}/cells"), self.spark.read.schema(ann.GRAPH).parquet(f"{at}/graphs"), op, HnswParams(**i["params"]))} | self._opened
+                return self._opened[i["data"]], i["at"]
+        return None
+
+    def _of(self, ids: DataFrame | None, at: int) -> DataFrame:
+        """Live rows that are candidates or have changed since a commit."""
+        rows = self.versions().where(~F.col("deleted"))
+        changed = rows.where(F.col("at") > at)
+        if ids is None:
+            return changed.drop("deleted", "at")
+        return rows.where(F.col("at") <= at).join(ids.distinct(), "id", "left_semi").unionByName(changed).drop("deleted", "at")
+
+    def ann_nearest(self, op: str, query: list[float], k: int, ef: int | None = None, keep=lambda rows: rows) -> DataFrame | None:
+        """Rows among which the ``k`` nearest that ``keep`` leaves are looked for; None without an index of the metric."""
+        found = self.ann_index(op)
+        if found is None:
+            return None
+        index, at = found
+        width, probes = max(ef or index.params.ef_search, k), ann.PROBES
+        while True:
+            rows = self._of(index.nearest(query, width, probes), at)
+            if (width >= index.n and probes >= len(index.cells)) or keep(rows).limit(k).count() >= k:
+                return rows
+            width, probes = 2 * width, 2 * probes
+
+    def ann_within(self, op: str, query: list[float], radius: float) -> DataFrame | None:
+        """Rows among which all within a radius are looked for; None without an index of the metric."""
+        found = self.ann_index(op)
+        return None if found is None else self._of(found[0].within(query, radius), found[1])
+
+    def search_many(self, queries: list[list[float]], k: int, op: str = "<->", ef: int | None = None) -> DataFrame:
+        """(query, id, distance): the ``k`` nearest of each of some queries, in one pass; approximate if there is an index and ``ef`` is given."""
+        if not queries:
+            return self.spark.createDataFrame([], "query int, id bigint, distance double")
+        queries = [self.check_query(q) for q in queries]
+        rows = self.rows().select("id", "embedding")
+        found = self.ann_index(op) if ef else None
+        if found:
+            index, at = found
+            live = self.versions().where(~F.col("deleted")).select("id", "embedding", "at")
+            pairs = live.where(F.col("at") <= at).join(index.many(queries, max(ef, k)), "id").select("query", "id", "embedding")
+            new = live.where(F.col("at") > at).select(F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"), "id", "embedding")
+            pairs = pairs.unionByName(new)
+        else:
+            pairs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"), "id", "embedding")
+        return pairs.mapInArrow(nearest_of(op, queries, k), "query int, id bigint, distance double").withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("_n") <= k).drop("_n")
+
+    def ann_recall(self, queries: list[list[float]], k: int, op: str = "<->", ef: int | None = None) -> float:
+        """The share of the exact ``k`` nearest that the approximate search finds."""
+        exact = {(r["query"], r["id"]) for r in self.search_many(queries, k, op).collect()}
+        got = {(r["query"], r["id"]) for r in self.search_many(queries, k, op, ef or HnswParams().ef_search).collect()}
+        return len(exact & got) / max(1, len(exact))
 
 
 def _without(mapping: Column, key: str) -> Column:

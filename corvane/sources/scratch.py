@@ -1,4 +1,4 @@
-"""A folder for short-lived collections, shared by driver and executors."""
+"""Folders for short-lived tables, shared by driver and executors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a local folder where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where driver and executors are one machine, a local folder will do."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='corvane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="corvane-")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

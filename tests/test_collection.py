@@ -95,9 +95,31 @@ def test_unpublished_files_are_not_read(engine, spark):
     c.rows().limit(3).withColumns({"deleted": F.lit(True), "at": F.lit(99).cast("bigint")}).write.parquet(f"{c.path}/data/left-over")
     assert Collection(spark, c.path).len() == 20
     c.checkpoint()
+    assert "left-over" in c.log.files.names("data")  # a writer may be at it
+    c.grace = 0.0
+    c.checkpoint()
     assert "left-over" not in c.log.files.names("data")
 
 
+def test_a_checkpoint_leaves_what_others_are_about_to_publish(engine, spark, monkeypatch):
+    c = engine.collection("vectors")
+    c.grace = 0.0
+    other = Collection(spark, c.path)
+    sweep, done = c.log.sweep, []
+
+    def interleaved(*args):
+        # after the checkpoint's commit another writer takes it in and writes its rows; after the sweep it publishes them
+        other.refresh()
+        commit = other.log.commit
+        monkeypatch.setattr(other.log, "commit", lambda *entry: (sweep(*args), done.append(1), commit(*entry)))
+        other.insert(500, [1.0, 1.0], {"late": True})
+
+    monkeypatch.setattr(c.log, "sweep", interleaved)
+    c.checkpoint()
+    again = Collection(spark, c.path)
+    assert done and again.len() == 21 and again.get_metadata(500) == {"late": True}
+
+
 ODD = [1, 1.0, "1", True, False, [1, "a"], [], {"k": 1}, float("nan"), 0.0, -0.0, 2020, 2021.5, "2022"]
 
 
