@@ -119,31 +119,39 @@ def probe_words(dice: float) -> list[str]:
     """Words of which every unit that reaches ``dice`` against some template holds one.
 
     Such a unit shares y*d/(2-d) of a template's y bigrams at least, so it has one of any
-    set of bigrams that leaves fewer out; the words that cover such a set are taken,
-    few and long ones first.
+    set of bigrams that leaves fewer out.  Words are taken greedily, those first that cover most
+    of what the templates still lack; short ones only where nothing else is left.
     """
-    out: set[str] = set()
-    for text in sorted(TEMPLATES.values(), key=lambda t: (len(bigrams(t)), t)):
-        grams = [set(g.split(" ")) for g in bigrams(text)]
-        open_, most = [g for g in grams if not g & out], math.ceil(len(grams) * dice / (2 - dice) - 1e-9) - 1
-        while len(open_) > most:
-            count = {w: sum(w in g for g in open_) for g in open_ for w in g}
-            best = min(count, key=lambda w: (len(w) < 6 and "." not in w, -count[w], -len(w), w))
-            out.add(best)
-            open_ = [g for g in open_ if best not in g]
-    return sorted(out)
+    open_ = {}
+    for text in sorted(set(TEMPLATES.values())):
+        grams = [frozenset(g.split(" ")) for g in bigrams(text)]
+        open_[text] = (grams, math.ceil(len(grams) * dice / (2 - dice) - 1e-9) - 1)
+    out: list[str] = []
+    while open_ := {t: (g, most) for t, (g, most) in open_.items() if len(g) > most}:
+        gain: dict[str, float] = {}
+        for grams, most in open_.values():
+            for w in {w for g in grams for w in g}:
+                gain[w] = gain.get(w, 0) + min(sum(w in g for g in grams) / (len(grams) - most), 1.0)
+        best = min(gain, key=lambda w: (len(w) < 6 and "." not in w, -round(gain[w], 9), -len(w), w))
+        out.append(best)
+        open_ = {t: ([g for g in grams if best not in g], most) for t, (grams, most) in open_.items()}
+    # a text that holds a word holds its parts too
+    return sorted(w for w in out if not any(x != w and x in w for x in out))
 
 
 _LOWER = "translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _any_of(column: str, dice: float) -> Column:
-    """Whether a text holds a probe word; plain byte searches, on whole texts first and then on units."""
-    low = F.lower(column)
-    out = F.lit(False)
-    for w in probe_words(dice):
-        out = out | F.contains(low, F.lit(w))
-    return out
+    """Whether a text holds a probe word: plain byte searches over the lower-cased text, which the lambda makes once."""
+
+    def holds(low: Column) -> Column:
+        out = F.lit(False)
+        for w in probe_words(dice):
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    return F.exists(F.array(F.lower(column)), holds)
 
 
 def _words(unit: str) -> Column:
