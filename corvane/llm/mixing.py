@@ -15,8 +15,11 @@ own, and the part pass takes the blocks that begin before the budget ends.  Only
 blocks are ordered in windows, never documents, so a source of any size is
 bounded work for a task.
 
-Everything is DataFrame expressions: the bisection is an aggregate over one row
-that holds the sources' shares.
+Everything is DataFrame expressions.  The bisection is done six halvings at a time: one
+aggregate over the sources' table gives the sums that decide all 63 exponents between two bounds, and only
+sums reach the driver, so there may be as many sources as hosts.  Sources meet
+their documents by ``spread_join``, blocks by a broadcast where the plan has few bytes, else by
+(source, block), which is no hot key.
 
 Cases: null text has no tokens; a null source is the source ''; a source without
 tokens is passed over once; a null id has the digest of ''; repeated rows are
@@ -26,47 +29,53 @@ are kept by ``mix`` and do not matter otherwise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import spread_join
 from .store import Scratch, unpack_row, with_row
 
 ENTROPY = 0.9
 REPEATS = 4.0
 MAX_BLOCKS = 4096
 STEPS = 40
-#: Rows of the block plan (some 40 bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 400_000
+HALVINGS = 6  # of the bisection, decided by one aggregate
+#: Bytes of the block plan up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _bisect(low_moves: str) -> Column:
-    """The exponent at which a condition on ``mid`` turns, over the row's ``shares``."""
-    return F.expr(f"""
-        aggregate(sequence(1, {STEPS}), named_struct('lo', 0.0D, 'hi', 1.0D), (acc, i) ->
-            aggregate(array((acc.lo + acc.hi) / 2), acc, (a, mid) ->
-                if({low_moves}, named_struct('lo', mid, 'hi', a.hi), named_struct('lo', a.lo, 'hi', mid))))
-    """)
-
-
-_Z = "aggregate(shares, 0.0D, (z, p) -> z + power(p, mid))"
-_ENTROPY = f"(ln({_Z}) - mid * aggregate(shares, 0.0D, (z, p) -> z + power(p, mid) * ln(p)) / {_Z})"
-
-
-def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """One row with the exponent ``tau``, rounded to six places; totals: (source, tokens)."""
-    row = totals.where("tokens > 0").agg(F.sort_array(F.collect_list("tokens")).alias("t"), F.sum("tokens").alias("all"))
-    row = row.selectExpr("transform(t, x -> x / double(all)) AS shares")
-    # the larger the exponent, the smaller the entropy and the fewer the repeats
-    ratio = "power(array_max(shares) / array_min(shares), 1 - mid)"
-    by_entropy = _bisect(f"{_ENTROPY} >= {entropy} * ln(size(shares))")
-    by_repeats = _bisect(f"{ratio} > {repeats}")
-    row = row.withColumn("a", by_entropy).withColumn("b", by_repeats)
-    even = F.expr(f"size(shares) < 2 or aggregate(shares, 0.0D, (z, p) -> z - p * ln(p)) >= {entropy} * ln(size(shares)) - 1e-9")
-    free = F.expr(f"array_max(shares) / array_min(shares) <= {repeats}")
-    tau = F.greatest(F.when(even, 1.0).otherwise(F.col("a.lo")), F.when(free, 0.0).otherwise(F.col("b.hi")))
-    return row.select(F.round(F.coalesce(tau, F.lit(1.0)), 6).alias("tau"))
+def exponent(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> float:
+    """The exponent, rounded to six places; totals: (source, tokens)."""
+    some = totals.where("tokens > 0")
+    n, every, least, most = some.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not n or n < 2:
+        return 1.0
+    p = F.col("tokens") / F.lit(float(every))
+    own = some.agg(F.sum(-p * F.log(p))).first()[0]
+    goal = entropy * math.log(n)
+    by_entropy = 1.0
+    if own < goal - 1e-9:
+        # the larger the exponent, the smaller the entropy
+        lo, hi = 0.0, 1.0
+        for step in range(0, STEPS, HALVINGS):
+            k = 2 ** min(HALVINGS, STEPS - step)
+            tried = [lo + (hi - lo) * i / k for i in range(1, k)]
+            sums = some.agg(*[f(F.pow(p, F.lit(x))) for x in tried for f in (F.sum, lambda y: F.sum(y * F.log(p)))]).first()
+            reached = sum(math.log(z) - x * y / z >= goal for x, z, y in zip(tried, sums[0::2], sums[1::2], strict=True))
+            lo, hi = lo + (hi - lo) * reached / k, lo + (hi - lo) * (reached + 1) / k
+        by_entropy = lo
+    by_repeats = 0.0
+    if most / least > repeats:
+        lo, hi = 0.0, 1.0
+        for _ in range(STEPS):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (most / least) ** (1 - mid) > repeats else (lo, mid)
+        by_repeats = hi
+    return round(max(by_entropy, by_repeats), 6)
 
 
 def _digest() -> Column:
@@ -83,54 +92,54 @@ def block_plan(docs: DataFrame, scratch: Scratch, entropy: float = ENTROPY, repe
     """(sources, measured documents with their block, plan); plan: (source, block, epoch, block_rank)."""
     m = scratch.put(measured(docs), "measured")
     totals = scratch.put(m.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "totals")
-    tau = exponent(totals, entropy, repeats).first()["tau"]
-    weighed = totals.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    weighed = weighed.withColumn("raw", F.when(F.col("tokens") > 0, F.pow("share", F.lit(tau))).otherwise(0.0))
+    tau = exponent(totals, entropy, repeats)
+    every = totals.agg(F.sum("tokens")).first()[0] or 0
+    share = F.col("tokens") / F.lit(float(max(every, 1)))
+    weighed = totals.withColumn("share", share).withColumn("raw", F.when(F.col("tokens") > 0, F.pow("share", F.lit(tau))).otherwise(0.0))
+    norm = weighed.agg(F.sum("raw")).first()[0] or 0.0
     # rounded only where it is returned: a weight under 5e-10 would be 0, and its source lost
-    weighed = weighed.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy()))
-    least = F.max(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))).over(Window.partitionBy())
-    whole = F.lit(float(budget)) if budget is not None else least
-    weighed = weighed.withColumn("budget", F.round(F.col("weight") * whole).cast("long"))
+    weighed = weighed.withColumn("weight", F.try_divide("raw", F.lit(norm)))
+    if budget is None:
+        budget = weighed.agg(F.max(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")))).first()[0] or 0.0
+    weighed = weighed.withColumn("budget", F.round(F.col("weight") * F.lit(float(budget))).cast("long"))
     weighed = weighed.select(
         "source", "tokens", "n_docs", F.round("share", 9).alias("share"), F.lit(tau).alias("tau"), F.round("weight", 9).alias("weight"), "budget", F.least(F.col("n_docs"), F.lit(MAX_BLOCKS)).alias("blocks"),
         F.when(F.col("tokens") > 0, F.greatest(F.floor(F.col("budget") / F.col("tokens")), F.lit(1))).otherwise(1).cast("long").alias("passes"),
         F.when(F.col("budget") >= F.col("tokens"), F.try_mod("budget", "tokens")).otherwise(0).cast("long").alias("rest"),
     )
     sources = scratch.put(weighed, "sources")
-    # a row a source, so at most as many as there are; a plain join lets the engine choose by size
-    dealt = m.join(sources.select("source", "blocks", "passes", "rest"), "source").withColumn("block", F.col("digest") % F.col("blocks"))
+    facts = sources.select("source", "blocks", "passes", "rest", "weight", "tau", F.col("n_docs").alias("n"))
+    dealt = spread_join(m, facts, ["source"], m.count()).withColumn("block", F.col("digest") % F.col("blocks"))
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     epochs = blocks.withColumn("epoch", F.explode(F.expr("sequence(0L, passes)")))
     order = Window.partitionBy("source", "epoch").orderBy(F.md5(F.concat_ws(":", "source", "epoch", "block")), "block")
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = epochs.withColumn("block_rank", F.row_number().over(order).cast("long")).withColumn("before", before)
     plan = plan.where((F.col("epoch") < F.col("passes")) | (F.col("before") < F.col("rest"))).select("source", "block", "epoch", "block_rank")
-    return sources, dealt.select("doc_id", "source", "n_tokens", "block"), scratch.put(plan, "plan")
+    return sources, dealt.select("doc_id", "source", "n_tokens", "block", "weight", "tau"), scratch.put(plan, "plan")
+
+
+def _small(plan: DataFrame) -> DataFrame:
+    """A table by (source, block), broadcast where its bytes allow."""
+    size = plan.agg(F.sum(F.octet_length("source") + 48)).first()[0] or 0
+    return F.broadcast(plan) if size <= BROADCAST_BYTES else plan
 
 
 def mixture(docs: DataFrame, **targets) -> DataFrame:
     """Every document of every pass: its place in the mixture, and its source's weight."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sources, dealt, plan = block_plan(docs, scratch, **targets)
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    out = dealt.join(plan, ["source", "block"])
-    facts = sources.select("source", "weight", "tau")
-    return out.join(facts, "source").select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank", "weight", "tau")
+    _, dealt, plan = block_plan(docs, scratch, **targets)
+    return dealt.join(_small(plan), ["source", "block"]).select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank", "weight", "tau")
 
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
     """The mixture's documents with the columns of ``docs``; a document of n passes is n rows."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sources, _, plan = block_plan(docs, scratch, **targets)
-    copies = plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("copies"))
-    if plan.count() <= BROADCAST_ROWS:
-        copies, by_source = F.broadcast(copies), F.broadcast(sources)
-    else:
-        by_source = sources
-    by_source = by_source.select(F.col("source").alias("s"), F.col("blocks").alias("n"))
+    copies = _small(scratch.put(plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("copies")), "copies"))
+    by_source = sources.select(F.col("source").alias("own"), F.col("blocks").alias("of"), F.col("n_docs").alias("n"))
     rows = with_row(docs, digest=_digest(), own=F.coalesce(F.col("source").cast("string"), F.lit("")))
-    out = rows.join(by_source, F.col("own") == F.col("s")).withColumn("b", F.col("digest") % F.col("n"))
+    out = spread_join(rows, by_source, ["own"], sources.agg(F.sum("n_docs")).first()[0] or 0).withColumn("b", F.col("digest") % F.col("of"))
     out = out.join(copies, (F.col("own") == F.col("source")) & (F.col("b") == F.col("block")))
     return unpack_row(out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
