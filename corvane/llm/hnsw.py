@@ -380,10 +380,12 @@ def _search(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     graphs = dealt.select("dims", own.alias("shard"), "rep", "raw", "copies").groupBy("dims", "shard").applyInPandas(_build, "dims int, shard int, payload binary")
     graphs = scratch.put(graphs, "graphs", "none")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    served = graphs.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "dims").select("dims", "shard", span("chunks").alias("chunk"), F.lit(None).cast("long").alias("rep"), F.col("payload").alias("raw"))
-    asked = dealt.select("dims", span("shards").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), "rep", "raw")
-    tasks = sizes.agg(F.sum(F.col("shards") * F.col("chunks"))).first()[0] or 1
-    streams = served.unionAll(asked).repartition(int(tasks), "dims", "shard", "chunk").sortWithinPartitions("dims", "shard", "chunk", F.asc_nulls_first("rep"))
+    served = graphs.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "dims").select("dims", "shard", span("chunks").alias("chunk"), "shards", F.lit(None).cast("long").alias("rep"), F.col("payload").alias("raw"))
+    asked = dealt.select("dims", span("shards").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), "shards", "rep", "raw")
+    # a task for each shard and chunk, numbered, as hashes would put several on one
+    tasks = int(sizes.agg(F.sum(F.col("shards") * F.col("chunks"))).first()[0] or 1)
+    number = F.pmod(F.xxhash64("dims") + F.col("shard") + F.col("chunk") * F.col("shards"), F.lit(tasks)).cast("int")
+    streams = served.unionAll(asked).withColumn("task", number).repartitionById(tasks, F.col("task")).select("dims", "shard", "chunk", "rep", "raw").sortWithinPartitions("dims", "shard", "chunk", F.asc_nulls_first("rep"))
     return rows, nodes, scratch.put(streams.mapInArrow(_query, _FOUND), "found")
 
 
