@@ -123,9 +123,11 @@ class Graph:
         return entry
 
     def search(self, q: np.ndarray, width: int, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best nodes of the lowest layer for float32 queries."""
+        """The ``width`` best nodes of the lowest layer for float32 queries, as many at a time as their marks of seen nodes allow."""
         half = np.zeros(len(q), dtype=np.float32) if half is None else half
-        return self.beam(0, q, half, self.enter(q, half, 0), width, len(self.links[0]))
+        step = max(1, (1 << 26) // (len(self.links[0]) + 1))
+        found = [self.beam(0, q[i : i + step], half[i : i + step], self.enter(q[i : i + step], half[i : i + step], 0), width, len(self.links[0])) for i in range(0, len(q), step)]
+        return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     @classmethod
     def build(cls, vectors: np.ndarray, sizes: list[int], params: HnswParams = HnswParams(), half: np.ndarray | None = None) -> Graph:
