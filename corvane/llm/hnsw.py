@@ -1,8 +1,7 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Vectors are dealt to shards; each shard builds a graph of layers (a sixteenth of
-the nodes rises from one to the next) in numpy, inserting batches of nodes whose
-searches advance together.  Every vector is a query of every shard.  A beam that
+the nodes rises from one to the next) in numpy (``functions.hnsw``).  Every vector is a query of every shard.  A beam that
 is half full of links is doubled for its query until it is not.  Before a batch of queries
 is searched, a sample of it is compared with all vectors of the shard: queries are drawn
 until ``AUDIT`` of them have a link other than themselves (or ``AUDIT_MOST`` are drawn), and
@@ -37,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hnsw import Graph, HnswParams, layer_sizes, levels, pack_arrays, unpack_arrays
 from .graph import components, forest, spread_join
 from .store import Scratch
 from .textnum import mix
@@ -47,9 +47,8 @@ SHARD_BYTES = 1 << 26
 TASKS = 32
 CHUNK_ROWS = 1 << 20  # queries of a task
 QUERIES = 1 << 12  # queries searched together
-NEIGHBOURS = 16
-BUILD_BEAM = 48
-BEAM = 32
+PARAMS = HnswParams(m=16, m_max=16, m_max0=32, ef_construction=48, ef_search=32)
+BEAM = PARAMS.ef_search
 AUDIT = 16  # queries with links that an audit wants to see
 AUDIT_MOST = 512  # queries that it draws at most
 RECALL = 0.999
@@ -76,176 +75,24 @@ def _units(raw: list[bytes], dims: int) -> np.ndarray:
     return out
 
 
-def _select(vectors: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-    """Diverse neighbours: candidates (best first, -1 empty) that are nearer to the node than to a chosen one; then the best others."""
-    n, k = cand.shape
-    x = vectors[np.maximum(cand, 0)]
-    between = np.matmul(x, x.transpose(0, 2, 1))
-    chosen = np.zeros((n, k), dtype=bool)
-    nearest = np.full((n, k), -np.inf, dtype=np.float32)
-    taken = np.zeros(n, dtype=np.int64)
-    for r in range(k):
-        ok = (cand[:, r] >= 0) & (sims[:, r] > nearest[:, r]) & (taken < most)
-        chosen[:, r] = ok
-        taken += ok
-        nearest[ok] = np.maximum(nearest[ok], between[ok, r])
-    rank = np.where(cand < 0, 2 * k + 1, np.where(chosen, 0, k) + np.arange(k))
-    order = np.argsort(rank, axis=1, kind="stable")[:, :most]
-    return np.take_along_axis(cand, order, axis=1)
-
-
-class Graph:
-    """Layers over float32 unit vectors ordered by level; layer l holds the first ``sizes[l]`` nodes."""
-
-    def __init__(self, vectors: np.ndarray, links: list[np.ndarray]):
-        self.vectors, self.links = vectors, links
-
-    def beam(self, layer: int, queries: np.ndarray, entry: np.ndarray, width: int, filled: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best nodes found from ``entry`` (q x e) for every query: (nodes, similarities), best first, -1 empty."""
-        links, n = self.links[layer], len(queries)
-        seen = np.zeros((n, filled + 1), dtype=bool)  # the last column takes the empty ones
-        rows = np.arange(n)[:, None]
-        ids = np.full((n, width), -1, dtype=np.int64)
-        sims = np.full((n, width), -np.inf, dtype=np.float32)
-        e = entry[:, :width]
-        ids[:, : e.shape[1]] = e
-        sims[:, : e.shape[1]] = np.where(e >= 0, np.einsum("qd,qkd->qk", queries, self.vectors[np.maximum(e, 0)]), -np.inf)
-        seen[rows, np.where(e >= 0, e, filled)] = True
-        order = np.argsort(-sims, axis=1, kind="stable")
-        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        done = ids < 0
-        live = np.arange(n)
-        step = min(4, width)
-        while len(live):
-            open_ = ~done[live]
-            has = open_.any(axis=1)
-            live = live[has]
-            if not len(live):
-                break
-            open_ = open_[has]
-            rank = np.cumsum(open_, axis=1)
-            now = open_ & (rank <= step)
-            q, at = np.nonzero(now)
-            done[live[q], at] = True
-            near = np.full((len(live), step, links.shape[1]), -1, dtype=np.int64)
-            near[q, rank[q, at] - 1] = links[ids[live[q], at]]
-            near = near.reshape(len(live), -1)
-            # a node may be met twice in one step: keep the first
-            near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            own = live[:, None]
-            near[seen[own, np.where(near >= 0, near, filled)]] = -1
-            near[near >= filled] = -1
-            seen[own, np.where(near >= 0, near, filled)] = True
-            s = np.where(near >= 0, np.einsum("qd,qkd->qk", queries[live], self.vectors[np.maximum(near, 0)]), -np.inf)
-            all_s = np.concatenate((sims[live], s), axis=1)
-            top = np.argsort(-all_s, axis=1, kind="stable")[:, :width]
-            sims[live] = np.take_along_axis(all_s, top, 1)
-            ids[live] = np.where(np.isfinite(sims[live]), np.take_along_axis(np.concatenate((ids[live], near), axis=1), top, 1), -1)
-            done[live] = np.take_along_axis(np.concatenate((done[live], near < 0), axis=1), top, 1) | (ids[live] < 0)
-        return ids, sims
-
-    def enter(self, queries: np.ndarray, bottom: int) -> np.ndarray:
-        """Entry nodes of a layer, by descending the layers above it."""
-        entry = np.zeros((len(queries), 1), dtype=np.int64)
-        for layer in range(len(self.links) - 1, bottom, -1):
-            entry, _ = self.beam(layer, queries, entry, 4, len(self.links[layer]))
-        return entry
-
-    def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.beam(0, queries, self.enter(queries, 0), width, len(self.links[0]))
-
-    @classmethod
-    def build(cls, vectors: np.ndarray, sizes: list[int]) -> Graph:
-        g = cls(vectors, [np.full((n, NEIGHBOURS * 2 if i == 0 else NEIGHBOURS), -1, dtype=np.int64) for i, n in enumerate(sizes)])
-        for layer in range(len(sizes) - 1, -1, -1):
-            g._fill(layer, sizes[layer])
-        return g
-
-    def _fill(self, layer: int, n: int) -> None:
-        links, most = self.links[layer], self.links[layer].shape[1]
-        at = 0
-        while at < n:
-            size = min(n - at, max(32, min(at // 2, 512)))
-            new = np.arange(at, at + size)
-            q = self.vectors[new]
-            inner = q @ q.T
-            inner[np.triu_indices(size)] = -np.inf  # the earlier ones of the batch
-            k = min(BUILD_BEAM // 2, size)
-            near = np.argpartition(-inner, k - 1, axis=1)[:, :k]
-            cand, sims = new[near], np.take_along_axis(inner, near, 1)
-            if at:
-                # the layers above hold the first nodes; while those are inserted, searches start at node 0
-                above = layer + 1 < len(self.links) and at >= len(self.links[layer + 1])
-                ids, s = self.beam(layer, q, self.enter(q, layer) if above else np.zeros((size, 1), np.int64), BUILD_BEAM, at)
-                cand, sims = np.concatenate((ids, cand), axis=1), np.concatenate((s, sims), axis=1)
-            cand = np.where(np.isfinite(sims), cand, -1)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
-            cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-            links[new] = -1
-            got = _select(self.vectors, cand, sims, NEIGHBOURS)
-            links[new, : got.shape[1]] = got
-            self._back(links, most, new, got)
-            at += size
-
-    def _back(self, links: np.ndarray, most: int, new: np.ndarray, got: np.ndarray) -> None:
-        """Links from the chosen neighbours to the new nodes; a full node keeps a diverse choice."""
-        r, c = np.nonzero(got >= 0)
-        target, source = got[r, c], new[r]
-        order = np.argsort(target, kind="stable")
-        target, source = target[order], source[order]
-        nodes, first, many = np.unique(target, return_index=True, return_counts=True)
-        for chunk in range(0, len(nodes), 512):
-            some, f, m = nodes[chunk : chunk + 512], first[chunk : chunk + 512], many[chunk : chunk + 512]
-            m_most = int(m.max())
-            wide = np.full((len(some), most + m_most), -1, dtype=np.int64)
-            wide[:, :most] = links[some]
-            row = np.repeat(np.arange(len(some)), m)
-            col = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-            wide[row, most + col] = source[np.repeat(f, m) + col]
-            sims = np.where(wide >= 0, np.einsum("qd,qkd->qk", self.vectors[some], self.vectors[np.maximum(wide, 0)]), -np.inf)
-            order = np.argsort(-sims, axis=1, kind="stable")
-            wide, sims = np.take_along_axis(wide, order, 1), np.take_along_axis(sims, order, 1)
-            fits = (wide >= 0).sum(axis=1) <= most
-            links[some[fits]] = wide[fits, :most]
-            if (~fits).any():
-                links[some[~fits]] = _select(self.vectors, wide[~fits], sims[~fits], most)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = [pa.Tensor.from_numpy(np.ascontiguousarray(a)) for a in arrays]
-    sink.write(len(table).to_bytes(8, "little"))
-    for t in table:
-        pa.ipc.write_tensor(t, sink)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    source = pa.BufferReader(data)
-    n = int.from_bytes(source.read(8), "little")
-    return [pa.ipc.read_tensor(source).to_numpy() for _ in range(n)]
-
-
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     ids, dims = pdf.rep.to_numpy(np.int64), int(key[0])
-    draw = mix(ids.view(np.uint64)) >> np.uint64(11)
-    level = np.floor(-np.log((draw.astype(np.float64) + 1) / 2**53) / np.log(16)).astype(np.int64)
+    level = levels(ids, PARAMS)
     order = np.argsort(-level, kind="stable")
     ids, level, copies = ids[order], level[order], pdf.copies.to_numpy(np.int64)[order]
     exact = _units(pdf.raw.tolist(), dims)[order]
-    sizes = [n for i in range(int(level[0]) + 1) if (n := int((level >= i).sum())) > (0 if i == 0 else 1)]
-    g = Graph.build(exact.astype(np.float32), sizes)
-    return pd.DataFrame({"dims": [dims], "shard": [int(key[1])], "payload": [_pack(ids, copies, exact, *[x.astype(np.int32) for x in g.links])]})
+    g = Graph.build(exact.astype(np.float32), layer_sizes(level), PARAMS)
+    return pd.DataFrame({"dims": [dims], "shard": [int(key[1])], "payload": [pack_arrays(ids, copies, exact, *[x.astype(np.int32) for x in g.links])]})
 
 
 class Shard:
     """A shard's graph with its exact vectors, node numbers and multiplicities."""
 
     def __init__(self, payload: bytes):
-        self.ids, self.copies, self.exact, *links = _unpack(payload)
-        self.graph = Graph(self.exact.astype(np.float32), [x.astype(np.int64) for x in links])
+        self.ids, self.copies, self.exact, *links = unpack_arrays(payload)
+        single = self.exact.astype(np.float32)
+        self.graph = Graph(single, np.zeros(len(single), dtype=np.float32), [x.astype(np.int64) for x in links], PARAMS)
 
     def links(self, q: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) of all links found for unit vectors q (double), some queries at a time."""
@@ -372,7 +219,7 @@ def _search(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     nodes = scratch.put(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     # by length of vectors, so that tables of any number of lengths stay a table
     sizes = nodes.groupBy("dims").agg(F.count("*").alias("n"))
-    shards = F.greatest(F.lit(SHARDS), F.ceil(F.col("n") * (F.col("dims") * 8 + 12 * NEIGHBOURS + 16) / SHARD_BYTES)).cast("int")
+    shards = F.greatest(F.lit(SHARDS), F.ceil(F.col("n") * (F.col("dims") * 8 + 4 * (PARAMS.m_max0 + PARAMS.m_max) + 16) / SHARD_BYTES)).cast("int")
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.lit(TASKS) / F.col("shards"))).cast("int")
     sizes = scratch.put(sizes.withColumn("shards", shards).withColumn("chunks", chunks), "sizes")
     dealt = nodes.join(F.broadcast(sizes.drop("n")) if sizes.count() <= 10_000 else sizes.drop("n"), "dims")
