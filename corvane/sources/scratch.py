@@ -1,12 +1,18 @@
-"""Folders for short-lived tables, shared by driver and executors."""
+"""Folders for short-lived tables, shared by driver and executors; removed when the driver's process ends."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
+_LOCAL: list[str] = []
+_MADE: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where driver and executors are one machine, a local folder will do."""
@@ -16,9 +22,32 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="corvane-")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
+    return _LOCAL[0]
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed with all it holds at the end of the process or by ``sweep``."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep() -> None:
+    """Removes all scratch folders of this process; what is still to be read must not depend on them."""
+    while _MADE:
+        path, spark = _MADE.popitem()
+        remove(spark, path)
+
+
+@atexit.register
+def _at_end() -> None:
+    # without its JVM the process can reach no store any more
+    with contextlib.suppress(Py4JError, OSError, AttributeError):
+        sweep()
