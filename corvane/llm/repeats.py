@@ -27,7 +27,7 @@ of one window, whose core is the whole window, dealt by its two 64-bit hashes an
 collapsed in each batch first.
 
 Cases: null text counts as empty; texts under 100 bytes lose nothing; a long text is read
-in pieces of a MB; rows of one id and one text are one document; rows of one id with
+in pieces of a quarter of a MB; rows of one id and one text are one document; rows of one id with
 different texts are documents of their own, in order of their texts' hashes; a row without
 id can be neither earlier nor later than another and keeps its bytes; an empty table gives
 an empty result; further columns do not matter.
@@ -54,12 +54,13 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 UNIT = 17
 SHARD_BYTES = 1 << 18
-BATCH_BYTES = 1 << 24
-CONTEXT_BATCH = 1 << 22
-CHUNK = 1 << 20
+BATCH_BYTES = 1 << 23
+CONTEXT_BATCH = 1 << 21
+CHUNK = 1 << 18
+PIECE = 1 << 18
 #: Bytes of text, and of contexts, for each bucket.
 BUCKET_TEXT = 12 << 20
-BUCKET_CONTEXTS = 2 << 20
+BUCKET_CONTEXTS = 1 << 20
 HOT_CONTEXTS = 1 << 13
 #: Documents with ambiguous ids up to which they are broadcast.
 BROADCAST_IDS = 200_000
@@ -106,7 +107,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """Slices of (doc_id, sub, text, ...) as (slice, bytes, offsets, row's place of the first byte); a long row comes in overlapping chunks."""
-    for batch, buf, offs in pieces(batches):
+    for batch, buf, offs in pieces(batches, most_bytes=PIECE):
         if batch.num_rows > 1 or len(buf) <= 2 * CHUNK:
             yield batch, buf, offs, 0
             continue
@@ -287,7 +288,7 @@ def _contexts(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for batch, buf, offs in pieces(batches):
+        for batch, buf, offs in pieces(batches, most_bytes=PIECE):
             wants = [np.frombuffer(b"".join(x), dtype=np.int64).reshape(-1, 3) for x in batch.column(3).to_pylist()]
             row = np.repeat(np.arange(len(wants)), [len(x) for x in wants])
             lo, h, facts = np.concatenate(wants).T
@@ -472,17 +473,16 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, buf, offs in pieces(batches, most_bytes=PIECE):
         out = []
-        for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
+        for doc_id, spans, begin, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             runs = united(np.frombuffer(b"".join(spans or []), dtype=np.int64).reshape(-1, 2))
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs.tolist():
-                kept.update(raw[at:a])
+            kept, at, size = hashlib.sha256(), begin, end - begin
+            for a, b in (runs + begin).tolist():
+                kept.update(buf[at:a])
                 at = b
-            kept.update(raw[at:])
-            out.append((doc_id, len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
+            kept.update(buf[at:end])
+            out.append((doc_id, size, int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
