@@ -6,13 +6,18 @@ words not seen after it, so the probabilities of all V + 1 words (one stands for
 every unknown word) sum to one exactly.  A token's probability is evaluated
 recursively: pair, else weight times word, else weight times unknown word.
 
+The tables (``Tables``), Parquet in the shared folder, readable by any query, dealt to partitions by the
+history's hash: ``pairs`` (p, history, and for each word after it its number in the
+partition's list, its training count, and the documents it occurs in), ``words`` (p, word_no, word, count: training
+count in all documents), ``histories`` (history, total, weight).  Words and histories are 64-bit hashes.
+
 How it is spread.  Tasks cut documents into blocks of some MB and pack their word
 pairs into compressed arrays, dealt to partitions by the history's hash; a pair
 keeps the list of documents (of its block) that it occurs in.  A partition merges
-its blocks into one table (history, word, count, documents), which is written.
-Word counts are summed in partitions of their own, to which each pair partition
-sends its distinct words and gets the totals back.  Then every pair partition
-scores its pairs and sends sums for the documents of each block, which are added.
+its blocks into one table, ordered by history.  Word counts are summed in partitions of their own, to which each pair
+partition sends its distinct words and gets the totals back.  Then the pairs stream, history by
+history, through their partition's task, which adds up sums for the documents of each block.
+The number of partitions follows from the bytes of all texts (``PART_BYTES``), so a partition is some MB whatever the input.
 
 Histories that hold a thousandth of all tokens or more, at most a thousand, are
 dealt by both words, and their left-over mass is summed over the partitions.  A
@@ -27,9 +32,9 @@ further columns do not matter.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,12 +44,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, release
+from .store import Scratch
 from .textnum import Words, mix, pieces
 
 CUTOFF = 5
 HOT_SHARE = 1000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 8 << 20
 BLOCK_DOCS = 1 << 16
 FOLDS = 10
 
@@ -86,14 +92,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, as a worker is used for many groups; where the C library can't, nothing happens."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == 0
 
@@ -111,8 +109,8 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(document ids, word hashes with an end after each document, tokens of each) of every block."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, int]]:
+    """(document ids, word hashes with an end after each document, tokens of each, bytes) of every block."""
     ids: list = []
     words: list[np.ndarray] = []
     counts: list[np.ndarray] = []
@@ -125,18 +123,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         ids += batch.column(0).to_pylist()
         size += len(buf)
         if size >= BLOCK_BYTES or len(ids) > BLOCK_DOCS - 257:
-            yield ids, np.concatenate(words), np.concatenate(counts)
+            yield ids, np.concatenate(words), np.concatenate(counts), size
             ids, words, counts, size = [], [], [], 0
     if ids:
-        yield ids, np.concatenate(words), np.concatenate(counts)
+        yield ids, np.concatenate(words), np.concatenate(counts), size
 
 
 def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, words, _ in _blocks(batches):
+    for _, words, _, size in _blocks(batches):
         w, n = np.unique(words, return_counts=True)
         keep = n * HOT_SHARE >= len(words)
         # the block's size rides on a row of its own
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(w[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), len(words)))], names=["w", "n", "tokens"])
+        none = np.zeros(keep.sum(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(w[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], 0)), pa.array(np.append(none, len(words))), pa.array(np.append(none, size))], names=["w", "n", "tokens", "bytes"])
 
 
 def _part(h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
@@ -152,7 +151,7 @@ _EVENT = "p long, block long, payload binary"
 def _events(hot: np.ndarray, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for ids, w, n_tokens in _blocks(batches):
+        for ids, w, n_tokens, _ in _blocks(batches):
             block = (task << 20) + number
             number += 1
             held = np.array([held_out(i) for i in ids])
@@ -184,17 +183,34 @@ def _events(hot: np.ndarray, parts: int):
                 rows.append((int(p), block, pack(uh, uw, place[order], train[a:b][order].astype(np.uint32), docs_of[a:b][order].astype(np.uint32), doc[at].astype(np.uint16), times[at].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "block", "payload"])
             del rows, h, w, doc, part, entry, times, pair, docs_of, train
-            _give_back()
 
     return run
 
 
+_ROW = "kind int, p long, q long, payload binary"
+_PAIRS = "history long, words array<int>, counts array<int>, ndocs array<int>, docs array<int>, times array<int>"
+LISTS, ASK, ANSWER, PAIR_STATS, WORD_STATS, WORDS, DOCS, HOT_PAIRS, HOT_WORDS, PAIRS, SCORES, HISTORIES = range(12)
+#: Numbers of pairs and of their documents in a batch of rows.
+ENTRIES = 1 << 18
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "p", "q", "payload"])
 
 
-_ROW = "kind int, p long, q long, payload binary"
-MERGED, ASK, ANSWER, PAIR_STATS, WORD_STATS, WORDS, DOCS, HOT_PAIRS, HOT_WORDS = range(9)
+def _merged_rows(rows: list[tuple], pairs: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    """Rows (kind, p, q, payload), or histories with their lists: (p, history, end of each's pairs, words, counts, ndocs, docs, times)."""
+    ints = pa.list_(pa.int32())
+    if pairs is None:
+        empty = [pa.nulls(len(rows), pa.int64()), *[pa.nulls(len(rows), ints)] * 5]
+        head = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*head, *empty], names=["kind", "p", "q", "payload", "history", "words", "counts", "ndocs", "docs", "times"])
+    p, history, ends, words, counts, ndocs, docs, times = pairs
+    n = len(history)
+    at = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+    doc_at = pa.array(np.concatenate(([0], np.cumsum(ndocs)))[np.concatenate(([0], ends))].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(o, pa.array(x.astype(np.int32))) for o, x in ((at, words), (at, counts), (at, ndocs), (doc_at, docs), (doc_at, times))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, PAIRS, np.int32)), pa.array(np.full(n, p)), pa.array(np.full(n, -1)), pa.nulls(n, pa.binary()), pa.array(history.view(np.int64)), *lists], names=["kind", "p", "q", "payload", "history", "words", "counts", "ndocs", "docs", "times"])
 
 
 def _bins(group: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -207,17 +223,13 @@ def _bins(group: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
 
 
 def _merge(parts: int, hot: np.ndarray):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(key[0])
-        if p < 0:  # the documents of a block
-            return _frame([(DOCS, p, int(b), x) for b, x in zip(pdf.block, pdf.payload, strict=True)])
-        pdf = pdf.sort_values("block")
-        blocks, data = pdf.block.to_numpy(np.int64), pdf.payload.tolist()
-        del pdf
+    """Batches (p, block, payload) in order, merged by partition; documents of blocks (p < 0) are passed on."""
+
+    def merged(p: int, blocks: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         hs, ws, trains, ndocs, entries, times = [], [], [], [], [], []
         for i in range(len(data)):
             uh, uw, place, train, n, doc, t = unpack(data[i])
-            data[i] = None
+            data[i] = b""
             hs.append(uh[place // len(uw)])
             ws.append(uw[place % len(uw)])
             trains.append(train)
@@ -245,7 +257,7 @@ def _merge(parts: int, hot: np.ndarray):
         uw, iw = np.unique(w, return_inverse=True)
         docs, entry = np.unique(entry, return_inverse=True)
         docs = blocks[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS
-        rows = [(MERGED, p, -1, pack(uh, uw, ih * len(uw) + iw, count.astype(np.uint32), n.astype(np.uint32), docs, entry.astype(np.uint32), t))]
+        rows = [(LISTS, p, -1, pack(uw, docs))]
         ours = np.bincount(iw, weights=count, minlength=len(uw)).astype(np.int64)
         # pairs after a hot history: its sums are spread over the partitions
         at = np.minimum(np.searchsorted(hot, uh), len(hot) - 1)
@@ -263,9 +275,35 @@ def _merge(parts: int, hot: np.ndarray):
             have = np.flatnonzero(bins.any(axis=1))
             rows.append((HOT_PAIRS, p, -1, pack(have, bins[have].ravel())))
         rows.append((PAIR_STATS, p, -1, pack(np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2].astype(np.int64))))
-        del h, w, train, n, entry, t, count, pair, ih, iw, docs
-        _give_back()
-        return _frame(rows)
+        yield _merged_rows(rows)
+        del rows, some, which, ih, at
+        # histories in batches of so many pairs and documents; a longer one alone
+        last = np.append(heads[1:], len(w))
+        doc_end = np.cumsum(n)
+        size = doc_end[last - 1]
+        a = 0
+        while a < len(uh):
+            done = size[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(size, done + ENTRIES, side="right")))
+            x, y = heads[a], last[b - 1]
+            yield _merged_rows([], (p, uh[a:b], last[a:b] - x, iw[x:y], count[x:y], n[x:y], entry[done : size[b - 1]], t[done : size[b - 1]]))
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, data = None, [], []
+        for b in batches:
+            for p, block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if p != now and data:
+                    yield from merged(now, np.array(blocks, dtype=np.int64), data)
+                    blocks, data = [], []
+                now = p
+                if p < 0:
+                    yield _merged_rows([(DOCS, p, block, payload.as_py())])
+                    continue
+                blocks.append(block)
+                data.append(payload.as_py())
+        if data:
+            yield from merged(now, np.array(blocks, dtype=np.int64), data)
 
     return run
 
@@ -337,51 +375,73 @@ class Model:
         return np.maximum(total, 1), np.where(c > 0, (total - kept) / total / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-def _counts_of(left: pd.DataFrame, right: pd.DataFrame, parts: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """A pair partition's table and its words' total counts."""
-    table = unpack(left.payload.iloc[0])
-    q = (table[1] % np.uint64(parts)).astype(np.int64)
-    total = np.zeros(len(q), dtype=np.int64)
-    for x, data in zip(right.q, right.payload, strict=True):
-        total[q == x] = unpack(data)[0].astype(np.int64)
-    return table, total
+_SCORED = "kind int, block long, payload binary, history long, total double, weight double"
 
 
 def _score(model: Model, hot: np.ndarray, hot_sums: np.ndarray, parts: int):
-    """hot_sums: count, discounted count and mass by hot history."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        (uh, uw, place, count, n, docs, entry, times), total = _counts_of(left, right, parts)
-        ih, iw = (place // len(uw)).astype(np.int32), (place % len(uw)).astype(np.int32)
-        del place
-        first = np.flatnonzero(_runs(ih))
-        many = np.diff(np.append(first, len(ih)))
-        del ih
-        count, cw = count.astype(np.int64), total[iw]
-        p1 = model.word(total)[iw]
-        del iw
-        c, kept, mass = model.sums(first, count, p1)
-        at = np.searchsorted(hot, uh)
-        at[at == len(hot)] = 0
-        c, kept, mass = (np.where(hot[at] == uh, hot_sums[i][at], x) for i, x in enumerate((c, kept, mass)))
-        total_of, weight = model.weights(c, kept, mass)
-        p1 *= np.repeat(weight, many)
-        seen = count > 0
-        p1[seen] = (model.d2[np.minimum(count, CUTOFF + 1)] * count / np.repeat(total_of, many))[seen]
-        log = np.log10(p1)
-        base = np.log10((cw + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-        known = (cw > 0).astype(np.float64)
-        del p1, cw, count, seen
-        # only the documents that occur here: a sum each for score, base and known words
-        pair = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        score, low, known = (np.bincount(entry, weights=x[pair] * times, minlength=len(docs)) for x in (log, base, known))
-        doc = docs
-        del pair, log, base, entry, times
-        _give_back()
-        heads = np.flatnonzero(_runs(doc // BLOCK_DOCS))
-        ends = np.append(heads[1:], len(doc))
-        local = (doc % BLOCK_DOCS).astype(np.uint16)
-        return pd.DataFrame({"block": doc[heads] // BLOCK_DOCS, "payload": [pack(local[i:j], score[i:j], low[i:j], known[i:j].astype(np.uint32)) for i, j in zip(heads, ends, strict=True)]})
+    """Rows of partitions in order: their lists, their words' totals, their histories with pairs.  hot_sums: count, discounted count and mass by hot history."""
+
+    class Partition:
+        def __init__(self, lists: bytes):
+            self.words, self.docs = unpack(lists)
+            self.q = (self.words % np.uint64(parts)).astype(np.int64)
+            self.total = np.zeros(len(self.words), dtype=np.int64)
+            self.sums = np.zeros((3, len(self.docs)))
+
+        def score(self, history, ends, words, count, n, docs, times) -> tuple[np.ndarray, np.ndarray]:
+            first = np.append(0, ends[:-1])
+            many = np.diff(np.append(0, ends))
+            cw = self.total[words]
+            p1 = model.word(cw)
+            c, kept, mass = model.sums(first, count, p1)
+            at = np.searchsorted(hot, history)
+            at[at == len(hot)] = 0
+            spread = hot[at] == history
+            c, kept, mass = (np.where(spread, hot_sums[i][at], x) for i, x in enumerate((c, kept, mass)))
+            total_of, weight = model.weights(c, kept, mass)
+            p1 *= np.repeat(weight, many)
+            seen = count > 0
+            p1[seen] = (model.d2[np.minimum(count, CUTOFF + 1)] * count / np.repeat(total_of, many))[seen]
+            base = np.log10((cw + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+            pair = np.repeat(np.arange(len(n)), n)
+            for i, x in enumerate((np.log10(p1), base, (cw > 0).astype(np.float64))):
+                np.add.at(self.sums[i], docs, x[pair] * times)
+            return np.where(spread, np.nan, total_of), weight
+
+        def result(self) -> pa.RecordBatch:
+            """A row for each block: the sums of its documents."""
+            heads = np.flatnonzero(_runs(self.docs // BLOCK_DOCS))
+            ends = np.append(heads[1:], len(self.docs))
+            local = (self.docs % BLOCK_DOCS).astype(np.uint16)
+            payload = [pack(local[i:j], self.sums[0][i:j], self.sums[1][i:j], self.sums[2][i:j].astype(np.uint32)) for i, j in zip(heads, ends, strict=True)]
+            m = len(heads)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, SCORES, np.int32)), pa.array(self.docs[heads] // BLOCK_DOCS), pa.array(payload, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=["kind", "block", "payload", "history", "total", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, None
+        for b in batches:
+            kind, p = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cut = np.flatnonzero(_runs(kind, p)) if len(kind) else []
+            for i, j in zip(cut, [*cut[1:], len(kind)], strict=True):
+                if p[i] != now:
+                    if part is not None:
+                        yield part.result()
+                    now, part = p[i], None
+                rows = b.slice(i, j - i)
+                if kind[i] == LISTS:
+                    part = Partition(rows.column(3)[0].as_py())
+                elif kind[i] == ANSWER:
+                    for q, data in zip(rows.column(2).to_pylist(), rows.column(3), strict=True):
+                        part.total[part.q == q] = unpack(data.as_py())[0].astype(np.int64)
+                else:
+                    history = rows.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+                    ends = np.cumsum(rows.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                    total, weight = part.score(history, ends, *[rows.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5, 10)])
+                    m = len(history)
+                    keep = pa.array(~np.isnan(total))  # hot ones are in many partitions
+                    yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (pa.array(np.full(m, HISTORIES, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(history.view(np.int64)), pa.array(total), pa.array(weight))], names=["kind", "block", "payload", "history", "total", "weight"])
+        if part is not None:
+            yield part.result()
 
     return run
 
@@ -415,35 +475,57 @@ def _add_up(tokens: int):
     return run
 
 
-def katz_scores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Every document's score under the model learned from the documents that are not held out."""
+@dataclass
+class Tables:
+    """A model in the shared folder: its constants (``model``) and its tables; words and histories are 64-bit hashes."""
+
+    model: Model
+    pairs: DataFrame
+    words: DataFrame
+    histories: DataFrame
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of partitions with their totals, from rows (kind, p, q, payload) that list them by the partition that sums them."""
+    for b in batches:
+        for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            word, count = unpack(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), p)), pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], names=["p", "word", "count"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            word = unpack(data.as_py())[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), p)), pa.array(np.arange(len(word), dtype=np.int32)), pa.array(word.view(np.int64))], names=["p", "word_no", "word"])
+
+
+def _run(docs: DataFrame, partitions: int | None) -> tuple[Tables, DataFrame]:
+    """(the model's tables, every document's scores)."""
     spark = docs.sparkSession
-    # a partition's pairs are merged in a task's memory, so there are more of them than of rows elsewhere
-    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     scratch = Scratch(spark, "katz")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    often = text.mapInArrow(_hot, "w long, n long, tokens long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    often = text.mapInArrow(_hot, "w long, n long, tokens long, bytes long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
     often = scratch.put(often, "often")
-    tokens = often.agg(F.sum("tokens")).first()[0] or 0
+    tokens, size = often.agg(F.sum("tokens"), F.sum("bytes")).first()
     # a thousand rows at most: each has a thousandth of all tokens; a text's start is a history like these
-    hot = np.array([r["w"] for r in often.where((F.col("n") > 0) & (F.col("n") * HOT_SHARE >= tokens)).select("w").collect()], dtype=np.int64).view(np.uint64)
+    hot = np.array([r["w"] for r in often.where((F.col("n") > 0) & (F.col("n") * HOT_SHARE >= (tokens or 0))).select("w").collect()], dtype=np.int64).view(np.uint64)
     hot = np.unique(np.append(hot, START))
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
 
-    pairs_at = scratch.path("pairs")
-    text.mapInArrow(_events(hot, parts), _EVENT).groupBy("p").applyInPandas(_merge(parts, hot), _ROW).write.option("compression", "none").partitionBy("kind").parquet(pairs_at)
-    pairs = spark.read.schema("p long, q long, payload binary, kind int").parquet(pairs_at)
-    at = scratch.path("words")
-    pairs.where(F.col("kind") == ASK).groupBy("q").applyInPandas(_totals(hot), _ROW).write.option("compression", "none").partitionBy("kind").parquet(at)
-    words = spark.read.schema("p long, q long, payload binary, kind int").parquet(at)
-
-    # the shuffled pairs and the questions are done with
-    release(spark)
-    scratch.remove(f"{pairs_at}/kind={ASK}")
+    # a task for each partition; the documents of blocks go along with any
+    events = text.mapInArrow(_events(hot, parts), _EVENT)
+    events = events.repartitionById(parts, F.pmod("p", F.lit(parts)).cast("int")).sortWithinPartitions("p", "block")
+    merged = scratch.put(events.mapInArrow(_merge(parts, hot), f"{_ROW}, {_PAIRS}"), "pairs", "zstd", "kind")
+    asked = merged.where(F.col("kind") == ASK).select("kind", "p", "q", "payload")
+    answered = scratch.put(asked.groupBy("q").applyInPandas(_totals(hot), _ROW), "words", "zstd", "kind")
+    # the questions are done with
+    scratch.remove(f"{merged._scratch_path}/kind={ASK}")
 
     def small(df: DataFrame, kind: int) -> list[list[np.ndarray]]:
         """One small row for each partition."""
-        return [unpack(bytes(r["payload"])) for r in df.where(F.col("kind") == kind).select("payload").collect()]
+        return [unpack(bytes(r["payload"])) for r in df.where(F.col("kind") == kind).select("payload").toLocalIterator()]
 
     def add(df: DataFrame, kind: int, size: int) -> np.ndarray:
         return np.sum([x[0] for x in small(df, kind)] or [np.zeros(size, np.int64)], axis=0, dtype=np.int64)
@@ -454,13 +536,38 @@ def katz_scores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
             out[have] += x.reshape(-1, CUTOFF + 1)
         return out
 
-    model = Model(add(words, WORD_STATS, CUTOFF + 4), add(pairs, PAIR_STATS, CUTOFF + 2))
+    model = Model(add(answered, WORD_STATS, CUTOFF + 4), add(merged, PAIR_STATS, CUTOFF + 2))
     r = np.append(np.arange(1, CUTOFF + 1), 1)  # the last bin holds a sum already
-    after, among = bins(pairs, HOT_PAIRS) * r, bins(words, HOT_WORDS) * r
+    after, among = bins(merged, HOT_PAIRS) * r, bins(answered, HOT_WORDS) * r
     hot_sums = np.stack((after.sum(axis=1), after @ model.d2[1:], among @ model.d1[1:] / model.total))
-    tables = pairs.where(F.col("kind") == MERGED).select("p", "payload").groupBy("p")
-    answers = words.where(F.col("kind") == ANSWER).select("p", "q", "payload").groupBy("p")
-    scored = tables.cogroup(answers).applyInPandas(_score(model, hot, hot_sums, parts), "block long, payload binary").withColumn("p", F.lit(1))
-    listed = pairs.where(F.col("kind") == DOCS).select(F.col("q").alias("block"), F.lit(0).alias("p"), "payload")
-    parts_of = listed.unionByName(scored.select("block", "p", "payload")).repartition("block").sortWithinPartitions("block", "p")
-    return parts_of.select("block", "p", "payload").mapInArrow(_add_up(model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in merged.schema.fields if f.name not in ("kind", "p", "q", "payload")]
+    known = answered.where(F.col("kind") == ANSWER).select("kind", "p", "q", "payload", *nothing)
+    own = merged.where(F.col("kind").isin(LISTS, PAIRS)).select(*known.columns)
+    turn = F.when(F.col("kind") == LISTS, 0).when(F.col("kind") == ANSWER, 1).otherwise(2)
+    streams = own.unionByName(known).repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", turn, "history", "q")
+    scored = scratch.put(streams.mapInArrow(_score(model, hot, hot_sums, parts), _SCORED), "scores", "zstd", "kind")
+
+    listed = merged.where(F.col("kind") == DOCS).select(F.col("q").alias("block"), F.lit(0).alias("turn"), "payload")
+    sums = scored.where(F.col("kind") == SCORES).select("block", F.lit(1).alias("turn"), "payload")
+    parts_of = listed.unionByName(sums).repartition("block").sortWithinPartitions("block", "turn")
+    scores = parts_of.select("block", "turn", "payload").mapInArrow(_add_up(model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    total, weight = model.weights(*hot_sums)
+    seen = spark.createDataFrame([(int(h), float(t), float(x)) for h, t, x in zip(hot.view(np.int64), total, weight, strict=True)], "history long, total double, weight double")
+    histories = scored.where(F.col("kind") == HISTORIES).select("history", "total", "weight").unionAll(seen)
+    counts = answered.where(F.col("kind") == WORDS).select("q", "payload").mapInArrow(_listed, "p long, word long, count long").drop("p")
+    numbers = merged.where(F.col("kind") == LISTS).select("p", "payload").mapInArrow(_numbered, "p long, word_no int, word long")
+    words = numbers.join(counts, "word", "left").select("p", "word_no", "word", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
+    pairs = merged.where(F.col("kind") == PAIRS).select("p", "history", "words", "counts", "ndocs", "docs", "times")
+    return Tables(model, pairs, words, histories), scores
+
+
+def katz_model(docs: DataFrame, partitions: int | None = None) -> Tables:
+    """The model learned from the documents that are not held out."""
+    return _run(docs, partitions)[0]
+
+
+def katz_scores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every document's score under the model learned from the documents that are not held out."""
+    return _run(docs, partitions)[1]

@@ -1,30 +1,20 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir``; a local one is set up only where that
-setting is absent (tests).  Every cut of lineage is a written Parquet table, so
+setting is absent and the session runs on one machine (tests).  Tables go when the driver's process
+ends (``sources.scratch.sweep`` removes them earlier).  Every cut of lineage is a written Parquet table, so
 a lost executor costs at most the tasks of one stage.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_LOCAL: list[str] = []
-
+from ..sources.scratch import remove, scratch_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a local one where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return _LOCAL[0]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -32,17 +22,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch_folder(spark, name)
         self._n = 0
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def put(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "snappy", partition: str | None = None) -> DataFrame:
+        """``df`` written and reread; its shuffles' files go when it is written, as nothing reads them again."""
         at = self.path(name)
-        df.write.option("compression", compression).parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            writer = df.write.option("compression", compression)
+            (writer.partitionBy(partition) if partition else writer).parquet(at)
+        finally:
+            conf.set(_CLEANUP, before)
+        columns = [f for f in df.schema.fields if f.name != partition] + [f for f in df.schema.fields if f.name == partition]
+        out = self.spark.read.schema(T.StructType(columns)).parquet(at)
         out._scratch_path = at
         return out
 
@@ -52,14 +51,7 @@ class Scratch:
             self.remove(f._scratch_path)
 
     def remove(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files now, of plans that nothing refers to any more, not when the driver's heap fills."""
-    gc.collect()
-    spark._jvm.System.gc()
+        remove(self.spark, path)
 
 
 def with_row(df: DataFrame, **columns: Column) -> DataFrame:

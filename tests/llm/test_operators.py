@@ -326,6 +326,32 @@ def test_katz(spark, unique):
         assert math.isclose(g.score, sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)), rel_tol=1e-9)
 
 
+def test_katz_tables_are_a_normalised_model(spark, unique, monkeypatch):
+    monkeypatch.setattr(katz, "ENTRIES", 40)  # histories in several batches
+    t = katz.katz_model(table(spark, unique), partitions=3)
+    m = t.model
+    words = {}
+    for r in t.words.collect():
+        assert words.setdefault(r["word"], r["count"]) == r["count"]
+    seen = {w: c for w, c in words.items() if c}
+    assert len(seen) == m.words and sum(seen.values()) == m.tokens
+    one = {w: m.d1[min(c, 6)] * c / m.total for w, c in seen.items()}
+    assert math.isclose(sum(one.values()) + m.unknown, 1, abs_tol=1e-9)
+    # the tables alone, by a query: counts of pairs, and with the histories' weights the mass after every history
+    pairs = t.pairs.selectExpr("p", "history", "explode(arrays_zip(words, counts)) AS x").selectExpr("p", "history", "x.words AS word_no", "x.counts AS c").where("c > 0").join(t.words.select("p", "word_no", "word"), ["p", "word_no"])
+    after = collections.defaultdict(dict)
+    for r in pairs.collect():
+        after[r["history"]][r["word"]] = r["c"]
+    facts = {r["history"]: (r["total"], r["weight"]) for r in t.histories.collect()}
+    tokens = {i: [*WORD.findall(lower(x or "")), None] for i, x, _ in unique}
+    want = collections.Counter(p for i in tokens if zlib.crc32(str(i).encode()) % 10 for p in zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True))
+    assert sorted(c for x in after.values() for c in x.values()) == sorted(want.values())
+    for h, x in after.items():
+        total, weight = facts[h]
+        mass = sum(m.d2[min(c, 6)] * c / total for c in x.values()) + weight * (1 - sum(one[w] for w in x))
+        assert math.isclose(mass, 1, abs_tol=1e-9)
+
+
 def test_katz_without_training(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = by_id(katz.katz_scores(table(spark, [(i, "a b", "s") for i in held]), partitions=2))
