@@ -86,6 +86,36 @@ def arrow_distance(v: Column, op: str, q: list[float]) -> Column:
     return run(v)
 
 
+def flat_nearest(op: str, queries: list[list[float]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches (id, embedding) that leaves a task's ``k`` nearest of each query, as (query, id, distance).
+
+    Every vector is read once for all queries; only the best rows of each query are kept.
+    """
+    wanted = np.asarray(queries, dtype=np.float64)
+    own = _EXTRA.get(op)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(wanted)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            for i, q in enumerate(wanted):
+                d = own(x, q) if own else kernel(op, x, q)
+                some = np.arange(len(d))
+                if len(d) > k:
+                    # all that are no farther than the k-th, so that ties are decided by id
+                    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k else some[:0]
+                n, e = np.concatenate((best[i][0], ids[some])), np.concatenate((best[i][1], d[some]))
+                order = np.lexsort((n, e))[:k]
+                best[i] = n[order], e[order]
+        many = [len(n) for n, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best), dtype=np.int32), many)), pa.array(np.concatenate([n for n, _ in best])), pa.array(np.concatenate([e for _, e in best]))], names=["query", "id", "distance"])
+
+    return run
+
+
 def nearest_of(op: str, queries: list[list[float]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function over batches (query, id, embedding) that leaves the ``k`` nearest of each query in a task, as (query, id, distance)."""
     wanted = np.asarray(queries, dtype=np.float64)

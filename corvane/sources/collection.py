@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyDeleted, BackendError, DimensionMismatch, DuplicateId, ExecutionError, IndexAlreadyExists, IndexNameInUse, InvalidVector, NotFound, UnknownIndexName
 from ..functions import values
-from ..functions.distance import NAMES, distance, nearest_of
+from ..functions.distance import NAMES, distance, flat_nearest, nearest_of
 from ..functions.hnsw import HnswParams
 from ..language.tree import FieldRef
 from ..operators import ann, indexes
@@ -484,8 +484,10 @@ class Collection:
         index, at = found
         width, probes = max(ef or index.params.ef_search, k), ann.PROBES
         while True:
+            # a beam that holds everything means everything
+            probes = len(index.cells) if width >= index.n else probes
             rows = self._of(index.nearest(query, width, probes), at)
-            if (width >= index.n and probes >= len(index.cells)) or keep(rows).limit(k).count() >= k:
+            if width >= index.n or keep(rows).limit(k).count() >= k:
                 return rows
             width, probes = 2 * width, 2 * probes
 
@@ -505,11 +507,12 @@ class Collection:
             index, at = found
             live = self.versions().where(~F.col("deleted")).select("id", "embedding", "at")
             pairs = live.where(F.col("at") <= at).join(index.many(queries, max(ef, k)), "id").select("query", "id", "embedding")
-            new = live.where(F.col("at") > at).select(F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"), "id", "embedding")
-            pairs = pairs.unionByName(new)
+            new = live.where(F.col("at") > at).select("id", "embedding")
+            near = pairs.mapInArrow(nearest_of(op, queries, k), "query int, id bigint, distance double")
+            near = near.unionByName(new.mapInArrow(flat_nearest(op, queries, k), "query int, id bigint, distance double"))
         else:
-            pairs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"), "id", "embedding")
-        return pairs.mapInArrow(nearest_of(op, queries, k), "query int, id bigint, distance double").withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("_n") <= k).drop("_n")
+            near = rows.mapInArrow(flat_nearest(op, queries, k), "query int, id bigint, distance double")
+        return near.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("_n") <= k).drop("_n")
 
     def ann_recall(self, queries: list[list[float]], k: int, op: str = "<->", ef: int | None = None) -> float:
         """The share of the exact ``k`` nearest that the approximate search finds."""
