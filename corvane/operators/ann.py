@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hnsw import Graph, HnswParams, layer_sizes, levels, pack_arrays, unpack_arrays
 
-CELL_BYTES = 16 << 20
+CELL_BYTES = 4 << 20
 SAMPLE = 1 << 16
 PROBES = 4
 ROUNDS = 8
 GRAPH = "cell int, part int, n bigint, payload binary"
-CELL = "cell int, centre array<double>, reach double, n bigint"
+CELL = "cell int, centre array<double>, reach double, n bigint, parts int"
 #: Relative slack of single precision in a walk; candidates are measured exactly afterwards.
 SLACK = 1e-4
 
@@ -96,8 +96,8 @@ def build(rows: DataFrame, op: str, dim: int, params: HnswParams, cell_bytes: in
     # one row a cell, of which there are as many as the bytes ask for
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("reach"))
     centre = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    facts = sizes.join(F.broadcast(centre), "cell").select("cell", "centre", "reach", "n")
     parts = F.ceil(F.col("n") * each / cell_bytes).cast("int")
+    facts = sizes.join(F.broadcast(centre), "cell").select("cell", "centre", "reach", "n", parts.alias("parts"))
     split = dealt.join(F.broadcast(sizes.select("cell", parts.alias("parts"))), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def graph(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +127,11 @@ class AnnIndex:
         self.centres = np.array([r["centre"] for r in found], dtype=np.float64).reshape(len(found), -1)
         self.reach = np.array([r["reach"] for r in found])
         self.n = sum(r["n"] for r in found)
+        self._parts = np.sort([r["parts"] for r in found])[::-1] if found else np.zeros(0, np.int64)
+
+    def parts(self, probes: int) -> int:
+        """Graphs that so many probes read at most."""
+        return int((self._parts if self.op == "<#>" else self._parts[:probes]).sum())
 
     def _walk(self, cells: list[int], q: np.ndarray, ef: int, least: float | None = None) -> DataFrame:
         """(query, id) of what beams find for the queries in some cells; with ``least``, all that is as similar."""

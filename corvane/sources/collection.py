@@ -31,6 +31,8 @@ from .log import Log
 from .scratch import scratch_folder
 
 STORED = f"{values.ROW}, deleted boolean, at bigint"
+#: Candidate ids that the driver lists for a scan's filter; more are joined.
+LISTED = 10_000
 
 
 class ViewCollection:
@@ -468,9 +470,11 @@ class Collection:
                 return self._opened[i["data"]], i["at"]
         return None
 
-    def _of(self, ids: DataFrame | None, at: int) -> DataFrame:
-        """Live rows that are candidates or have changed since a commit."""
+    def _of(self, ids: DataFrame | list[int] | None, at: int) -> DataFrame:
+        """Live rows that are candidates or have changed since a commit; listed ids reach the scan as a filter."""
         rows = self.versions().where(~F.col("deleted"))
+        if isinstance(ids, list):
+            return rows.where(F.col("id").isin(ids) | (F.col("at") > at)).drop("deleted", "at")
         changed = rows.where(F.col("at") > at)
         if ids is None:
             return changed.drop("deleted", "at")
@@ -486,7 +490,10 @@ class Collection:
         while True:
             # a beam that holds everything means everything
             probes = len(index.cells) if width >= index.n else probes
-            rows = self._of(index.nearest(query, width, probes), at)
+            ids = index.nearest(query, width, probes)
+            # a beam's width from each graph that is read; no more are listed than LISTED
+            few = width * index.parts(probes) <= LISTED
+            rows = self._of([r["id"] for r in ids.collect()] if few else ids, at)
             if width >= index.n or keep(rows).limit(k).count() >= k:
                 return rows
             width, probes = 2 * width, 2 * probes
