@@ -2,6 +2,11 @@
 
 Every stage takes all that its predecessor kept and is written to the shared
 folder before the next reads it.
+
+Cases, in every stage: null text counts as empty (and is null in what is kept); a null id or source is
+a value like others; rows of one id with different texts are documents of their own; texts of any
+length are taken whole; an empty table gives an empty result; further columns are passed on up to
+the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,27 +19,27 @@ from corvane.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that are too frequent on their host."""
+    """Documents that pass the rules, without the lines that are too frequent on their host; documents without words go."""
     return quality.quality_filter(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one of least id; documents without words have no group and stay."""
     return minhash.near_dedup(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind in brackets."""
+    """Documents with personal data replaced by its kind in brackets; overlapping finds become one, null text stays null."""
     return pii.redact(docs)
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: every document once at least, those of small sources in several passes."""
+    """The mixture: every document once at least, those of small sources in several passes; a null source is the source ''."""
     return mixing.mix(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers of every whole text."""
+    """Token identifiers of every whole text; null text has none."""
     return sentencepiece_np.encode_documents(docs)
 
 
