@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLL = 128
+UNROLL = 64
 NAMES = {"<->": "l2", "<=>": "cosine", "<#>": "ip"}
 
 _EXTRA: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {}
@@ -50,7 +50,8 @@ def _unrolled(v: Column, op: str, q: list[float]) -> Column:
     if norm == 0:
         return F.when(v.isNotNull(), F.lit(1.0))
     own = F.sqrt(_sum([a * a for a in x]))
-    return F.when(own == 0, F.lit(1.0)).otherwise(1.0 - dot / (own * F.lit(norm)))
+    # the norm stands here once, as compiled code has a size limit
+    return F.coalesce(1.0 - F.try_divide(dot, own * F.lit(norm)), F.lit(1.0))
 
 
 def kernel(op: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -145,6 +146,11 @@ def nearest_of(op: str, queries: list[list[float]], k: int) -> Callable[[Iterato
     return run
 
 
+def once(d: Column) -> Column:
+    """The same column, marked so that a filter on it does not copy its expression below: it is worked out once a row, and compiled code stays small."""
+    return F.when(F.rand(0) >= 0, d)
+
+
 def distance(v: Column, op: str, q: list[float]) -> Column:
     """The distance of a vector column to a query; NULL for a NULL vector or one of another length."""
     q = [float(x) for x in q]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ExecutionError
 from ..functions import values
-from ..functions.distance import distance
+from ..functions.distance import distance, once
 from ..language import tree as t
 from ..language.binder import BoundSelect
 from ..operators import indexes
@@ -55,6 +55,7 @@ class SelectPlan:
             column = self.distance(d)
             if any(o.what == d for o in q.order):
                 rows = rows.where(F.size(self.c.embedding) == len(self.vector(d.query)))
+            column = once(column) if any(w.distance == d for w in q.within) else column
             rows = rows.withColumn(name := f"__distance_{len(self.made)}", column)
             self.made[d] = name
         return rows

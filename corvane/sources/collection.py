@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyDeleted, BackendError, DimensionMismatch, DuplicateId, ExecutionError, IndexAlreadyExists, IndexNameInUse, InvalidVector, NotFound, UnknownIndexName
 from ..functions import values
-from ..functions.distance import NAMES, distance, flat_nearest, nearest_of
+from ..functions.distance import NAMES, distance, flat_nearest, nearest_of, once
 from ..functions.hnsw import HnswParams
 from ..language.tree import FieldRef
 from ..operators import ann, indexes
@@ -199,7 +199,7 @@ class Collection:
 
     def _ranked(self, op: str, query: list[float], rows: DataFrame | None = None) -> DataFrame:
         self.check_query(query)
-        return (self.rows() if rows is None else rows).withColumn("distance", distance(F.col("embedding"), op, query)).where("distance is not null").select("id", "distance", "metadata")
+        return (self.rows() if rows is None else rows).withColumn("distance", once(distance(F.col("embedding"), op, query))).where("distance is not null").select("id", "distance", "metadata")
 
     def search(self, query: list[float], k: int, op: str = "<->", ef: int | None = None) -> DataFrame:
         """The ``k`` nearest rows; with ``ef`` by a graph index, if there is one of the metric."""
