@@ -49,7 +49,7 @@ from .textnum import Words, mix, pieces
 
 CUTOFF = 5
 HOT_SHARE = 1000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 8 << 20
 BLOCK_DOCS = 1 << 16
 FOLDS = 10
@@ -433,10 +433,10 @@ def _score(model: Model, hot: np.ndarray, hot_sums: np.ndarray, parts: int):
                 elif kind[i] == ANSWER:
                     for q, data in zip(rows.column(2).to_pylist(), rows.column(3), strict=True):
                         part.total[part.q == q] = unpack(data.as_py())[0].astype(np.int64)
-                else:
-                    history = rows.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
-                    ends = np.cumsum(rows.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                    total, weight = part.score(history, ends, *[rows.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5, 10)])
+                    continue
+                for data in rows.column(3) if kind[i] == PAIRS else ():
+                    history, *lists = unpack(data.as_py())
+                    total, weight = part.score(history, *[x.astype(np.int64) for x in lists])
                     m = len(history)
                     keep = pa.array(~np.isnan(total))  # hot ones are in many partitions
                     yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (pa.array(np.full(m, HISTORIES, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(history.view(np.int64)), pa.array(total), pa.array(weight))], names=["kind", "block", "payload", "history", "total", "weight"])
@@ -493,6 +493,18 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), p)), pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], names=["p", "word", "count"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs as compressed payloads, some histories each, for the way to their partition's task."""
+    for b in batches:
+        p = b.column(0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(_runs(p)) if len(p) else []
+        for i, j in zip(cut, [*cut[1:], len(p)], strict=True):
+            rows = b.slice(i, j - i)
+            ends = np.cumsum(rows.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            payload = pack(rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64), ends.astype(np.uint32), *[rows.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.uint32) for k in range(2, 7)])
+            yield pa.RecordBatch.from_arrays([pa.array([PAIRS], pa.int32()), pa.array([p[i]], pa.int64()), pa.array([-1], pa.int64()), pa.array([payload], pa.binary())], names=["kind", "p", "q", "payload"])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -541,11 +553,10 @@ def _run(docs: DataFrame, partitions: int | None) -> tuple[Tables, DataFrame]:
     after, among = bins(merged, HOT_PAIRS) * r, bins(answered, HOT_WORDS) * r
     hot_sums = np.stack((after.sum(axis=1), after @ model.d2[1:], among @ model.d1[1:] / model.total))
 
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in merged.schema.fields if f.name not in ("kind", "p", "q", "payload")]
-    known = answered.where(F.col("kind") == ANSWER).select("kind", "p", "q", "payload", *nothing)
-    own = merged.where(F.col("kind").isin(LISTS, PAIRS)).select(*known.columns)
+    pairs = merged.where(F.col("kind") == PAIRS).select("p", "history", "words", "counts", "ndocs", "docs", "times")
+    rows = [x.select("kind", "p", "q", "payload") for x in (merged.where(F.col("kind") == LISTS), answered.where(F.col("kind") == ANSWER), pairs.mapInArrow(_packed, _ROW))]
     turn = F.when(F.col("kind") == LISTS, 0).when(F.col("kind") == ANSWER, 1).otherwise(2)
-    streams = own.unionByName(known).repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", turn, "history", "q")
+    streams = rows[0].unionAll(rows[1]).unionAll(rows[2]).repartitionById(parts, F.col("p").cast("int")).sortWithinPartitions("p", turn, "q")
     scored = scratch.put(streams.mapInArrow(_score(model, hot, hot_sums, parts), _SCORED), "scores", "zstd", "kind")
 
     listed = merged.where(F.col("kind") == DOCS).select(F.col("q").alias("block"), F.lit(0).alias("turn"), "payload")
@@ -559,7 +570,6 @@ def _run(docs: DataFrame, partitions: int | None) -> tuple[Tables, DataFrame]:
     counts = answered.where(F.col("kind") == WORDS).select("q", "payload").mapInArrow(_listed, "p long, word long, count long").drop("p")
     numbers = merged.where(F.col("kind") == LISTS).select("p", "payload").mapInArrow(_numbered, "p long, word_no int, word long")
     words = numbers.join(counts, "word", "left").select("p", "word_no", "word", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
-    pairs = merged.where(F.col("kind") == PAIRS).select("p", "history", "words", "counts", "ndocs", "docs", "times")
     return Tables(model, pairs, words, histories), scores
 
 
