@@ -49,7 +49,7 @@ from .textnum import Words, mix, pieces
 
 CUTOFF = 5
 HOT_SHARE = 1000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 PART_BYTES = 8 << 20
 BLOCK_DOCS = 1 << 16
 FOLDS = 10

@@ -719,6 +719,26 @@ EMPTY = {
 }
 
 
+def test_very_long_texts(spark):
+    r = random.Random(21)
+    words = " ".join(f"w{r.randrange(3000)}" + r.choice(["", "", "", "\n"]) for _ in range(60_000))
+    run = "".join(r.choice("abcdeé") for _ in range(300_000))
+    rows = [(1, words, "a"), (2, words + " more", "a"), (3, run, "b"), (4, "x" + run, "b"), (5, "Licensed under the MIT License.\n" * 2000, "c"), (6, "a@b.cd " * 20_000, "c")]
+    docs = table(spark, rows)
+    text = {i: t for i, t, _ in rows}
+    assert {i: g.n_words for i, g in by_id(quality.quality_report(docs)).items()} == {i: len(WORD.findall(t)) for i, t in text.items()}
+    near = by_id(minhash.near_duplicates(docs))
+    assert {i: (g.n_shingles, g.component_id) for i, g in near.items()} == near_components(rows)
+    spans = by_id(pii.pii_report(docs))
+    assert all(g.base_sha256 == hashlib.sha256(",".join(base_spans(text[i])).encode()).hexdigest() for i, g in spans.items())
+    got = by_id(repeats.repeat_report(docs, partitions=3))
+    assert {i: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for i, g in got.items()} == brute_repeats(rows)
+    assert all(g.round_trip and g.n_chars == len(text[i]) for i, g in by_id(sentencepiece_np.encode_documents(docs)).items())
+    assert {i: g.n_tokens for i, g in by_id(katz.katz_scores(docs, partitions=2)).items()} == {i: len(WORD.findall(t)) + 1 for i, t in text.items()}
+    assert by_id(license.license_report(docs))[5].n_units == 2001  # and the whole text
+    assert {x.doc_id for x in mixing.mixture(docs).collect()} == set(text)
+
+
 @pytest.mark.parametrize("name", sorted(EMPTY))
 def test_empty_tables(spark, name):
     assert EMPTY[name](table(spark, [])).collect() == []
