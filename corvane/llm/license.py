@@ -2,8 +2,8 @@
 
 Every line of a text is a unit, and so is the whole text: lower-cased, everything
 but letters, digits and dots within numbers turned into single spaces.  A unit
-with x distinct bigrams can reach a coefficient d against a template with y only
-where x lies between y*d/(2-d) and y*(2-d)/d; units outside every template's bounds are
+with x distinct bigrams can pass a coefficient d against a template with y only
+where x lies between y*d/(2-d) and y*(2-d)/d, exclusive; units outside every template's bounds are
 dropped before their bigrams are made, and the rest meet only the templates
 whose bounds they are in.
 
@@ -111,7 +111,7 @@ def _literal(dice: float) -> str:
         grams = bigrams(text)
         n = len(grams)
         listed = ",".join(f"'{g}'" for g in grams)
-        rows.append(f"named_struct('name','{name}','low',{n * dice / (2 - dice)}D,'high',{n * (2 - dice) / dice}D,'size',{n},'grams',array({listed}))")
+        rows.append(f"named_struct('name','{name}','low',{n * dice / (2 - dice) + 1e-9}D,'high',{n * (2 - dice) / dice - 1e-9}D,'size',{n},'grams',array({listed}))")
     return f"array({','.join(rows)})"
 
 
@@ -180,7 +180,7 @@ def _unit_scores(units: DataFrame, dice: float) -> DataFrame:
     fits = F.expr(f"filter({_literal(dice)}, t -> size(g) >= t.low AND size(g) <= t.high)")
     pairs = units.select(*keep, "g", F.explode(fits).alias("t"))
     score = 2.0 * F.size(F.array_intersect("g", F.col("t.grams"))) / (F.size("g") + F.col("t.size"))
-    return pairs.select(*keep, F.col("t.name").alias("license"), F.round(score, 6).alias("dice")).where(F.col("dice") >= dice)
+    return pairs.select(*keep, F.col("t.name").alias("license"), F.round(score, 6).alias("dice")).where(F.col("dice") > dice)
 
 
 def _window_scores(rows: DataFrame, dice: float) -> DataFrame:
@@ -189,39 +189,37 @@ def _window_scores(rows: DataFrame, dice: float) -> DataFrame:
     rows = rows.where(_any_of("text", dice)).select("doc_id", _in_order(_words("text")).alias("o"))
     rows = rows.select("doc_id", "o", F.array_intersect("o", F.array(*[F.lit(g) for g in union])).alias("d")).where(F.size("d") > 0)
     # a window that reaches `dice` shares low = y*d/(2-d) bigrams at least
-    near = F.expr(f"filter({_literal(dice)}, t -> size(array_intersect(d, t.grams)) >= t.low - 1e-9D)")
+    near = F.expr(f"filter({_literal(dice)}, t -> size(array_intersect(d, t.grams)) >= t.low)")
     pairs = rows.select("doc_id", "o", F.explode(near).alias("t"))
     # the first occurrences in a window keep their order, so every prefix of them is a shorter window's set
     best = F.expr("""
         array_max(transform(
-            filter(sequence(0, size(o) - 1), i -> array_contains(t.grams, o[i]) AND size(array_intersect(slice(o, i + 1, int(2 * t.high)), t.grams)) >= t.low - 1e-9D),
+            filter(sequence(0, size(o) - 1), i -> array_contains(t.grams, o[i]) AND size(array_intersect(slice(o, i + 1, int(2 * t.high)), t.grams)) >= t.low),
             i -> aggregate(array_distinct(slice(o, i + 1, int(2 * t.high))), named_struct('x', 0, 'c', 0, 'best', 0.0D),
                 (a, e) -> named_struct('x', a.x + 1, 'c', a.c + int(array_contains(t.grams, e)), 'best', greatest(a.best, 2.0D * (a.c + int(array_contains(t.grams, e))) / (a.x + 1 + t.size))),
                 a -> a.best)))
         """)
-    return pairs.select("doc_id", F.lit(-2).alias("unit_no"), F.col("t.name").alias("license"), F.round(best, 6).alias("dice")).where(F.col("dice") >= dice)
+    return pairs.select("doc_id", F.lit(-2).alias("unit_no"), F.col("t.name").alias("license"), F.round(best, 6).alias("dice")).where(F.col("dice") > dice)
 
 
 def license_matches(docs: DataFrame, dice: float = DICE) -> DataFrame:
-    """(doc_id, unit_no, license, dice) of every unit that reaches ``dice``; unit_no -1 is the whole text, -2 its windows."""
+    """(doc_id, unit_no, license, dice) of every unit above ``dice``; unit_no -1 is the whole text, -2 its windows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "license")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_any_of("text", dice))
-    # read three times below, and few of all texts
-    base = Scratch(docs.sparkSession, "license").put(base, "base")
-    units = base.select("doc_id", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
+    # few of all texts, and all the work is in them: dealt evenly, and numbered, as ids may be repeated or null
+    base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("number", F.monotonically_increasing_id())
+    base = scratch.put(base, "base")
+    units = base.select("doc_id", "number", F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
     units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), -1).otherwise(F.col("unit_no"))).where("n > 1 or unit_no >= 0").drop("n")
-    hits = _unit_scores(units, dice).select("doc_id", "unit_no", "license", "dice")
-    # texts whose own units explain them are told by digest, as ids may be repeated or null
-    taken = _hits_by_text(base, dice)
-    rest = base.withColumn("key", F.sha2("text", 256)).join(taken, "key", "left").where("not coalesce(array_contains(hit, -1), false)")
-    lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("hit", i), F.lit(False)))
-    return hits.unionByName(_window_scores(rest.select("doc_id", F.array_join(lines, "\n").alias("text")), dice))
-
-
-def _hits_by_text(base: DataFrame, dice: float) -> DataFrame:
-    """(key, hit): the units of every text that reach ``dice``; key: the text's digest."""
-    units = base.select(F.sha2("text", 256).alias("key"), F.posexplode(F.concat(F.split("text", "\n"), F.array("text"))).alias("unit_no", "unit"), F.size(F.split("text", "\n")).alias("n"))
-    units = units.withColumn("unit_no", F.when(F.col("unit_no") == F.col("n"), F.when(F.col("n") > 1, -1).otherwise(0)).otherwise(F.col("unit_no"))).drop("n")
-    return _unit_scores(units, dice).groupBy("key").agg(F.collect_set("unit_no").alias("hit"))
+    hits = scratch.put(_unit_scores(units, dice), "hits")
+    # a text that is a licence as a whole is not read again, nor are lines that are notices
+    whole = F.when((F.col("unit_no") == 0) & (F.col("lines") == 1), -1).otherwise(F.col("unit_no"))
+    lines = base.select(F.col("number").alias("of"), F.size(F.split("text", "\n")).alias("lines"))
+    taken = hits.join(lines, F.col("number") == F.col("of")).groupBy("number").agg(F.collect_set(whole).alias("hit"))
+    rest = base.join(taken, "number", "left").where("not coalesce(array_contains(hit, -1), false)")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("hit", i), F.lit(False)))
+    return hits.select("doc_id", "unit_no", "license", "dice").unionByName(_window_scores(rest.select("doc_id", F.array_join(kept, "\n").alias("text")), dice))
 
 
 def license_report(docs: DataFrame, dice: float = DICE) -> DataFrame:
@@ -253,7 +251,7 @@ g AS (SELECT doc_id, unit_no, list_distinct(list_transform(range(1, len(w)), lam
 hits AS (SELECT doc_id, unit_no, name, round(2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)), 6) AS dice FROM g, t WHERE len(g) <= 100 AND list_has_any(g, grams)),
 best AS (
     SELECT doc_id, count(DISTINCT unit_no) AS n_units, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses, max(dice) AS best_dice, arg_min(name, (-dice, name)) AS best_license
-    FROM hits WHERE dice >= {dice} GROUP BY doc_id
+    FROM hits WHERE dice > {dice} GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses, best_license, best_dice FROM documents d LEFT JOIN best USING (doc_id)
 """
