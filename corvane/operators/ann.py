@@ -6,8 +6,8 @@ partitioned by cell, so a search reads only the cells that it probes.
 
 Searching: the query probes the cells nearest to it, walks their graphs with a beam of ``ef``, and gives candidate
 ids.  Distances, filters and order are then worked out on the rows themselves, so what is returned is exact for
-the candidates.  Where too few candidates survive (filters, deletions), beam and probes double, at most until
-everything is read, so a search gives min(k, matches) rows as the exact plan does.  A radius search widens each
+the candidates.  Where too few candidates survive (filters, deletions), the beam widens and probes double, for a few rounds;
+then all rows are read, so a search gives min(k, matches) rows as the exact plan does.  A radius search widens each
 graph's beam until it has met a vector outside; for Euclidean distance, cells that lie wholly outside are not read.
 """
 
@@ -27,6 +27,8 @@ from ..functions.hnsw import Graph, HnswParams, layer_sizes, levels, pack_arrays
 CELL_BYTES = 4 << 20
 SAMPLE = 1 << 16
 PROBES = 4
+#: Rounds of wider beams and more probes for a filtered search, before all rows are read.
+WIDER = 4
 ROUNDS = 8
 GRAPH = "cell int, part int, n bigint, payload binary"
 CELL = "cell int, centre array<double>, reach double, n bigint, parts int"

@@ -487,7 +487,7 @@ class Collection:
             return None
         index, at = found
         width, probes = max(ef or index.params.ef_search, k), ann.PROBES
-        while True:
+        for _ in range(ann.WIDER):
             # a beam that holds everything means everything
             probes = len(index.cells) if width >= index.n else probes
             ids = index.nearest(query, width, probes)
@@ -496,7 +496,9 @@ class Collection:
             rows = self._of([r["id"] for r in ids.collect()] if few else ids, at)
             if width >= index.n or keep(rows).limit(k).count() >= k:
                 return rows
-            width, probes = 2 * width, 2 * probes
+            width, probes = 4 * width, 2 * probes
+        # a filter that leaves so few is cheaper to scan than to walk for
+        return self.rows()
 
     def ann_within(self, op: str, query: list[float], radius: float) -> DataFrame | None:
         """Rows among which all within a radius are looked for; None without an index of the metric."""
