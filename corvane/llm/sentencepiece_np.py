@@ -42,6 +42,7 @@ SPACE = 0x2581
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
 LONG = 2048
 WINDOW = 1024
+GIANT = 8 << 20  # bytes above which a text is encoded in stretches
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -258,9 +259,11 @@ def _encode_units(v: Vocabulary, points: np.ndarray, start: np.ndarray, size: np
     return out, counts
 
 
-def encode_slice(v: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all identifiers, number of them by row) of rows of UTF-8 bytes."""
+def encode_slice(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, front: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(all identifiers, number of them by row) of rows of UTF-8 bytes; ``front``: a space is put in front of each."""
     rows = len(offs) - 1
+    if rows == 1 and len(buf) > GIANT:
+        return _encode_giant(v, buf, front)
     text = buf.tobytes().decode("utf-8", "surrogatepass")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     heads = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[offs]
@@ -268,10 +271,10 @@ def encode_slice(v: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[np.n
     points = np.where(points == SPACE, LITERAL, points)
     points[points == 0x20] = SPACE
     first = heads[:-1][full]
-    points = np.insert(points, first, SPACE)
+    points = np.insert(points, first, SPACE) if front else points
     if not len(points):
         return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-    row_start = first + np.arange(len(first))
+    row_start = first + np.arange(len(first)) * front
     mark = points == SPACE
     begin = mark.copy()
     begin[1:] &= ~mark[:-1]
@@ -290,6 +293,21 @@ def encode_slice(v: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[np.n
     return out, by_row
 
 
+def _encode_giant(v: Vocabulary, buf: np.ndarray, front: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long text, in stretches that end where a unit begins, so that little is held at a time."""
+    out, at = [], 0
+    while at < len(buf):
+        rest = buf[at + GIANT // 2 :]
+        space = np.flatnonzero((rest[1:] == 0x20) & (rest[:-1] != 0x20)) if len(rest) else rest
+        end = at + GIANT // 2 + 1 + int(space[0]) if len(space) else len(buf)
+        part = buf[at:end]
+        # the empty row in front keeps a stretch from being taken for a giant again
+        out.append(encode_slice(v, part, np.array([0, 0, len(part)]), front and at == 0)[0])
+        at = end
+    ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+    return ids, np.array([len(ids)])
+
+
 def decode_slice(v: Vocabulary, ids: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of rows of identifiers; the space put in front of a row is dropped."""
     width = (v.starts[1:] - v.starts[:-1])[ids]

@@ -596,6 +596,17 @@ def test_long_units_are_cut_exactly(spark, vocabulary, monkeypatch):
         assert back.tobytes().decode() == text
 
 
+def test_giant_texts_in_stretches(vocabulary, monkeypatch):
+    r = random.Random(2)
+    for text in (" ".join("".join(r.choice("abé日 ") for _ in range(r.randrange(1, 9))) for _ in range(400)), "  lead " + "x" * 900 + "  y", "z" * 700, " " * 600):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        monkeypatch.setattr(sentencepiece_np, "GIANT", 1 << 30)
+        whole, _ = sentencepiece_np.encode_slice(vocabulary, raw, np.array([0, len(raw)]))
+        monkeypatch.setattr(sentencepiece_np, "GIANT", 64)
+        parts, many = sentencepiece_np.encode_slice(vocabulary, raw, np.array([0, len(raw)]))
+        assert parts.tolist() == whole.tolist() and many.tolist() == [len(whole)]
+
+
 def test_fallback_bytes_reach_the_best_score(vocabulary):
     """Brute force over all segmentations, with code points that have no piece."""
     r = random.Random(12)
