@@ -192,6 +192,8 @@ _PAIRS = "history long, words array<int>, counts array<int>, ndocs array<int>, d
 LISTS, ASK, ANSWER, PAIR_STATS, WORD_STATS, WORDS, DOCS, HOT_PAIRS, HOT_WORDS, PAIRS, SCORES, HISTORIES = range(12)
 #: Numbers of pairs and of their documents in a batch of rows.
 ENTRIES = 1 << 18
+#: Sums travel as multiples of 1/FIXED: half the bytes of doubles once compressed, and added without rounding.
+FIXED = float(1 << 32)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -413,7 +415,8 @@ def _score(model: Model, hot: np.ndarray, hot_sums: np.ndarray, parts: int):
             heads = np.flatnonzero(_runs(self.docs // BLOCK_DOCS))
             ends = np.append(heads[1:], len(self.docs))
             local = (self.docs % BLOCK_DOCS).astype(np.uint16)
-            payload = [pack(local[i:j], self.sums[0][i:j], self.sums[1][i:j], self.sums[2][i:j].astype(np.uint32)) for i, j in zip(heads, ends, strict=True)]
+            fixed = np.rint(self.sums[:2] * FIXED).astype(np.int64)
+            payload = [pack(local[i:j], fixed[0][i:j], fixed[1][i:j], self.sums[2][i:j].astype(np.uint32)) for i, j in zip(heads, ends, strict=True)]
             m = len(heads)
             return pa.RecordBatch.from_arrays([pa.array(np.full(m, SCORES, np.int32)), pa.array(self.docs[heads] // BLOCK_DOCS), pa.array(payload, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=["kind", "block", "payload", "history", "total", "weight"])
 
@@ -455,7 +458,7 @@ def _add_up(tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(docs, sums) -> pa.RecordBatch:
             ids, known_id, held, n_tokens = docs
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known_id), pa.array(held), pa.array(n_tokens), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(sums[0])], schema=_RESULT)
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known_id), pa.array(held), pa.array(n_tokens), pa.array(sums[2]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1] / FIXED), pa.array(sums[0] / FIXED)], schema=_RESULT)
 
         docs, sums, now = None, None, None
         for batch in batches:
@@ -464,11 +467,11 @@ def _add_up(tokens: int):
                     if docs is not None:
                         yield result(docs, sums)
                     now, docs = block, unpack(data)
-                    sums = np.zeros((3, len(docs[0])))
+                    sums = np.zeros((3, len(docs[0])), dtype=np.int64)
                 else:
                     at, *more = unpack(data)
                     for s, x in zip(sums, more, strict=True):
-                        s[at] += x
+                        s[at] += x.astype(np.int64)
         if docs is not None:
             yield result(docs, sums)
 
