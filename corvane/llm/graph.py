@@ -33,17 +33,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-#: A key with this share of all rows or more is hot, so there are as many hot keys at most, and their rows may be broadcast.
+#: A key with this share of all rows or more (of the power of two below) is hot, so there are twice as many hot keys at most, and their rows may be broadcast.
 HOT_SHARE = 1000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and the number ``n`` of left rows that have it.
 
-    Hot keys (a thousandth of the ``total`` left rows, so a thousand of them at most) meet
+    Hot keys (about a thousandth of the ``total`` left rows, so two thousand of them at most) meet
     their row by a broadcast and stay where they are; only the other rows are dealt by key.
     """
-    hot = F.col("n") * HOT_SHARE >= total
+    # a number of few values: compiled code holds it, and is kept by the driver for each one
+    hot = F.col("n") * HOT_SHARE >= 1 << max(total.bit_length() - 1, 0)
     more = [c for c in right.columns if c not in on and c != "n"]
     marked = left.join(F.broadcast(right.where(hot).select(*on, *more, F.lit(True).alias("_hot"))), on, "left")
     rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).select(*on, *more), on, how)
