@@ -253,9 +253,9 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
     facts = nodes.join(counts.withColumnRenamed("u", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     facts = scratch.put(facts, "facts")
     least = facts.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    facts = spread_join(facts, least, ["component"], nodes.count()).select("dims", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least", F.col("copies").alias("n"))
+    facts = spread_join(facts, least, ["component"]).select("dims", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least", F.col("copies").alias("n"))
     may = F.col("raw").isNotNull() & F.col("vec_id").isNotNull()
-    linked = spread_join(rows.where(may), scratch.put(facts, "components"), ["dims", "raw"], rows.count())
+    linked = spread_join(rows.where(may), scratch.put(facts, "components"), ["dims", "raw"])
     rest = rows.where(~may).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("least").alias("component_id")).unionAll(rest)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

@@ -184,7 +184,7 @@ def _cross(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return _forest(ids, at[: len(u)], at[len(u) :])
 
 
-def _apart(member: DataFrame, total: int) -> DataFrame:
+def _apart(member: DataFrame) -> DataFrame:
     """The members (bucket, rep, component, n_shingles) of buckets with several components, dealt to pairs of blocks.
 
     Side 0: members outside the bucket's largest component; side 1: all its members.  Each
@@ -196,7 +196,7 @@ def _apart(member: DataFrame, total: int) -> DataFrame:
     whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("components"), main).where("components > 1")
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
     whole = whole.select("bucket", "n", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("s")).alias("all_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("few_blocks"))
-    m = spread_join(member, whole, ["bucket"], total)
+    m = spread_join(member, whole, ["bucket"])
     own = lambda n, k: F.pmod(F.xxhash64("rep", F.lit(k)), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = m.where("component <> main").select("bucket", own("few_blocks", 1).alias("i"), span("all_blocks").alias("j"), F.lit(0).alias("side"), "rep", "component")
@@ -219,20 +219,19 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     sig = nodes.select(F.col("rep").alias("id"), "n_shingles", "signature")
     bands = scratch.put(nodes.select("rep", "signature").mapInArrow(_bands, "bucket long, rep long"), "bands")
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    total = bands.count()
-    buckets = scratch.put(spread_join(bands, shared, ["bucket"], total), "buckets")
+    buckets = scratch.put(spread_join(bands, shared, ["bucket"]), "buckets")
     scratch.drop(bands)
 
     # every member against its bucket's centre, by signatures
     pairs = scratch.put(buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
     centres = pairs.groupBy("v").agg(F.count("*").alias("n")).join(sig.toDF("v", "nv", "sv"), "v")
-    near = spread_join(pairs, centres, ["v"], pairs.count()).join(sig.toDF("u", "nu", "su"), "u").where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
+    near = spread_join(pairs, centres, ["v"]).join(sig.toDF("u", "nu", "su"), "u").where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
     stars = scratch.put(near.select("u", "v", "su", "sv").mapInArrow(_agree, "u long, v long"), "stars")
     cluster = scratch.put(components(spark, stars, scratch), "clusters")
     # buckets that hold several clusters: members against members of other clusters
     member = buckets.select("bucket", "rep").join(cluster.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     member = scratch.put(member.join(sig.select(F.col("id").alias("rep"), "n_shingles"), "rep"), "members")
-    mixed = _apart(member.where("bucket is not null"), total).join(sig.toDF("rep", "n_shingles", "signature"), "rep")
+    mixed = _apart(member.where("bucket is not null")).join(sig.toDF("rep", "n_shingles", "signature"), "rep")
     # few bytes and much work: dealt to as many tasks as a shuffle has
     dealt = mixed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
     crossed = scratch.put(dealt.groupBy("bucket", "i", "j").applyInPandas(_cross, "u long, v long"), "crossed")
@@ -249,14 +248,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, cluster: DataFrame, scratch: Scra
     sets = scratch.put(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles binary"), "sets")
     member = scratch.put(rows.select("rep", "bucket", "n_shingles"), "clustered")
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    total = member.count()
 
     def inside(some: DataFrame, name: str) -> DataFrame:
         """Links of all pairs inside the blocks of (rep, bucket, blocks)."""
         placed = some.select("rep", "bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("i"))
         return scratch.put(placed.join(sets, "rep").groupBy("bucket", "i").applyInPandas(_verify, "u long, v long"), name)
 
-    placed = spread_join(member, sizes, ["bucket"], total)
+    placed = spread_join(member, sizes, ["bucket"])
     done = scratch.put(components(spark, inside(placed, "links"), scratch), "components")
     if not sizes.where("blocks > 1").limit(1).count():
         return done
@@ -265,11 +263,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, cluster: DataFrame, scratch: Scra
     own = lambda d: wide.join(d.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     heads = own(done).where("rep = component").select("rep", "bucket", "n_shingles")
     by_cluster = heads.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    among = inside(spread_join(heads, by_cluster, ["bucket"], total), "heads")
+    among = inside(spread_join(heads, by_cluster, ["bucket"]), "heads")
     edges = lambda d: d.toDF("u", "v")
     done = scratch.put(components(spark, edges(done).unionAll(among), scratch), "components")
     # then, exactly, what is still apart
-    rest = _apart(scratch.put(own(done).select("bucket", "rep", "component", "n_shingles"), "wide"), total)
+    rest = _apart(scratch.put(own(done).select("bucket", "rep", "component", "n_shingles"), "wide"))
     links = scratch.put(rest.join(sets, "rep").groupBy("bucket", "i", "j").applyInPandas(_verify, "u long, v long"), "links")
     return scratch.put(components(spark, edges(done).unionAll(links), scratch), "components")
 
@@ -282,9 +280,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     facts = nodes.select("set_hash", "set_sum", "n_shingles", "n", "rep", "low").join(comp.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     facts = scratch.put(facts, "facts")
     least = facts.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    facts = scratch.put(spread_join(facts.drop("low").withColumnRenamed("n", "copies"), least, ["component"], nodes.count()).drop("component", "rep").withColumnRenamed("copies", "n"), "lows")
+    facts = scratch.put(spread_join(facts.drop("low").withColumnRenamed("n", "copies"), least, ["component"]).drop("component", "rep").withColumnRenamed("copies", "n"), "lows")
     rows = all_docs.select("doc_id", "body", "n_shingles", "set_hash", "set_sum")
-    linked = spread_join(rows.where("n_shingles > 0 and doc_id is not null"), facts, ["set_hash", "set_sum", "n_shingles"], rows.count())
+    linked = spread_join(rows.where("n_shingles > 0 and doc_id is not null"), facts, ["set_hash", "set_sum", "n_shingles"])
     rest = rows.where("n_shingles = 0 or doc_id is null").withColumn("least", F.lit(None).cast(linked.schema["least"].dataType))
     return linked.unionByName(rest).select("doc_id", "body", "n_shingles", F.col("least").alias("low"))
 

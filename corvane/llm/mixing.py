@@ -109,7 +109,7 @@ def block_plan(docs: DataFrame, scratch: Scratch, entropy: float = ENTROPY, repe
     )
     sources = scratch.put(weighed, "sources")
     facts = sources.select("source", "blocks", "passes", "rest", "weight", "tau", F.col("n_docs").alias("n"))
-    dealt = spread_join(m, facts, ["source"], m.count()).withColumn("block", F.col("digest") % F.col("blocks"))
+    dealt = spread_join(m, facts, ["source"]).withColumn("block", F.col("digest") % F.col("blocks"))
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     epochs = blocks.withColumn("epoch", F.explode(F.expr("sequence(0L, passes)")))
     order = Window.partitionBy("source", "epoch").orderBy(F.md5(F.concat_ws(":", "source", "epoch", "block")), "block")
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
     copies = _small(scratch.put(plan.groupBy("source", "block").agg(F.count("*").cast("int").alias("copies")), "copies"))
     by_source = sources.select(F.col("source").alias("own"), F.col("blocks").alias("of"), F.col("n_docs").alias("n"))
     rows = with_row(docs, digest=_digest(), own=F.coalesce(F.col("source").cast("string"), F.lit("")))
-    out = spread_join(rows, by_source, ["own"], sources.agg(F.sum("n_docs")).first()[0] or 0).withColumn("b", F.col("digest") % F.col("of"))
+    out = spread_join(rows, by_source, ["own"]).withColumn("b", F.col("digest") % F.col("of"))
     out = out.join(copies, (F.col("own") == F.col("source")) & (F.col("b") == F.col("block")))
     return unpack_row(out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
