@@ -334,7 +334,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None) -> DataFram
         v = shared.value
         is_byte = np.zeros(len(v.starts) - 1, dtype=bool)
         is_byte[v.byte_ids] = True
-        for batch, buf, offs in pieces(batches, most_bytes=1 << 21, most_rows=2048):
+        for batch, buf, offs in pieces(batches, most_bytes=1 << 20, most_rows=2048):
             ids, by_row = encode_slice(v, buf, offs)
             raw, at = decode_slice(v, ids, by_row)
             same = np.diff(at) == np.diff(offs)

@@ -59,7 +59,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]] if len(arr) else buf[:0], offs - offs[0] if len(arr) else np.zeros(1, np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 1 << 20, most_rows: int = 256):
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 1 << 18, most_rows: int = 256):
     """Slices of the batches with few bytes each (a longer row alone): (slice, bytes, offsets)."""
     for batch in batches:
         if not batch.num_rows:
