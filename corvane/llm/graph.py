@@ -33,26 +33,27 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-#: Keys that meet their row by a broadcast: the most frequent ones.  Any other key has under a thousandth of all rows.
-HOT_KEYS = 1000
+#: A key with this share of all rows or more (of the power of two above) is hot, so there are as many hot keys at most, and their rows may be broadcast.
+HOT_SHARE = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and the number ``n`` of left rows that have it.
 
-    The ``HOT_KEYS`` most frequent keys meet their row by a broadcast and stay where they are;
-    only the other rows, a thousandth of all for a key at most, are dealt by key.
+    Hot keys (a thousandth of the power of two above the ``total`` left rows, so a thousand of them at most) meet
+    their row by a broadcast and stay where they are; only the other rows are dealt by key.
     """
+    # a number of few values: compiled code holds it, and is kept by the driver for each one
+    hot = F.col("n") * HOT_SHARE >= 1 << total.bit_length()
     more = [c for c in right.columns if c not in on and c != "n"]
-    few = right.orderBy(F.desc("n"), *on).limit(HOT_KEYS)
-    marked = left.join(F.broadcast(few.select(*on, *more, F.lit(True).alias("_hot"))), on, "left")
-    rest = marked.where("_hot is null").select(*left.columns).join(right.select(*on, *more), on, how)
+    marked = left.join(F.broadcast(right.where(hot).select(*on, *more, F.lit(True).alias("_hot"))), on, "left")
+    rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).select(*on, *more), on, how)
     return marked.where("_hot").select(*left.columns, *more).unionByName(rest.select(*left.columns, *more))
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, total: int) -> DataFrame:
     """Edges with their first node's least neighbour beside them; a hub's minimum comes from partial ones and is broadcast."""
-    return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"])
+    return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], total)
 
 
 CONTRACT = 1 << 20
@@ -77,10 +78,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def _round(e: DataFrame) -> DataFrame:
+def _round(e: DataFrame, total: int) -> DataFrame:
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-    small = _least(large)
+    large = _least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    small = _least(large, total)
     return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
@@ -96,9 +97,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: in
         # stars around their least node: every node has one edge up, and none leads on
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e")).select("e.*")
         ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
-        if not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0)))).first()[0]:
+        total, open_ = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0)))).first()
+        if not open_:
             break
-        new = scratch.put(_round(e), "edges")
+        new = scratch.put(_round(e, total), "edges")
         scratch.drop(e)
         e = new
     else:
