@@ -7,8 +7,9 @@ partitioned by cell, so a search reads only the cells that it probes.
 Searching: the query probes the cells nearest to it, walks their graphs with a beam of ``ef``, and gives candidate
 ids.  Distances, filters and order are then worked out on the rows themselves, so what is returned is exact for
 the candidates.  Where too few candidates survive (filters, deletions), the beam widens and probes double, for a few rounds;
-then all rows are read, so a search gives min(k, matches) rows as the exact plan does.  A radius search widens each
-graph's beam until it has met a vector outside; for Euclidean distance, cells that lie wholly outside are not read.
+then all rows are read, so a search gives min(k, matches) rows as the exact plan does.  A radius has no number of rows
+to stop at, and a beam can't tell that none is left (links may not lead to every node, and copies shut a beam in), so a
+radius search measures all vectors of the cells that it reads; for Euclidean distance, cells that lie wholly outside are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distance import kernel
 from ..functions.hnsw import Graph, HnswParams, layer_sizes, levels, pack_arrays, unpack_arrays
 
 CELL_BYTES = 4 << 20
@@ -32,8 +34,9 @@ WIDER = 4
 ROUNDS = 8
 GRAPH = "cell int, part int, n bigint, payload binary"
 CELL = "cell int, centre array<double>, reach double, n bigint, parts int"
-#: Relative slack of single precision in a walk; candidates are measured exactly afterwards.
+#: Slack of single precision where vectors of a graph are measured, and how many at a time; candidates are measured exactly afterwards.
 SLACK = 1e-4
+BLOCK = 4096
 
 
 def prepared(op: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +49,11 @@ def prepared(op: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), half.astype(np.float32)
 
 
+def _away(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances of vectors to centres, by differences, so that large coordinates cancel without loss."""
+    return np.sqrt(((x - centres) ** 2).sum(axis=1))
+
+
 def _near(op: str, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Similarities n x cells in double precision; cells are compared by distance, for inner products too."""
     if op == "<=>":
@@ -89,10 +97,8 @@ def build(rows: DataFrame, op: str, dim: int, params: HnswParams, cell_bytes: in
         for b in batches:
             if b.num_rows:
                 v = _vectors(b.column(1), dim)
-                near = _near(op, v, centres)
-                own = near.argmax(axis=1)
-                away = np.sqrt(np.maximum(-2 * near[np.arange(len(own)), own], 0))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), pa.array(away)], names=["id", "embedding", "cell", "away"])
+                own = _near(op, v, centres).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), pa.array(_away(v, centres[own]))], names=["id", "embedding", "cell", "away"])
 
     dealt = rows.mapInArrow(deal, "id bigint, embedding array<float>, cell int, away double")
     # one row a cell, of which there are as many as the bytes ask for
@@ -135,27 +141,24 @@ class AnnIndex:
         """Graphs that so many probes read at most."""
         return int((self._parts if self.op == "<#>" else self._parts[:probes]).sum())
 
-    def _walk(self, cells: list[int], q: np.ndarray, ef: int, least: float | None = None) -> DataFrame:
-        """(query, id) of what beams find for the queries in some cells; with ``least``, all that is as similar."""
-        op, params = self.op, self.params
-        queries, half = prepared(op, q)
+    def _of(self, cells: list[int]) -> DataFrame:
+        graphs = self.graphs if len(cells) == len(self.cells) else self.graphs.where(F.col("cell").isin(cells))
+        return graphs.select("payload")
+
+    def _walk(self, cells: list[int], q: np.ndarray, ef: int) -> DataFrame:
+        """(query, id) of what beams find for the queries in some cells."""
+        params = self.params
+        queries, half = prepared(self.op, q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for data in b.column(0):
                     ids, g = _graph(data.as_py(), params)
-                    width = min(ef, g.size)
-                    while True:
-                        found, sims = g.search(queries, width, half)
-                        if least is None or width >= g.size or (sims[:, -1] < least).all():
-                            break
-                        width = min(2 * width, g.size)
-                    keep = found >= 0 if least is None else (found >= 0) & (sims >= least)
-                    r, c = np.nonzero(keep)
+                    found, _ = g.search(queries, min(ef, g.size), half)
+                    r, c = np.nonzero(found >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(ids[found[r, c]])], names=["query", "id"])
 
-        graphs = self.graphs if len(cells) == len(self.cells) else self.graphs.where(F.col("cell").isin(cells))
-        return graphs.select("payload").mapInArrow(run, "query int, id bigint")
+        return self._of(cells).mapInArrow(run, "query int, id bigint")
 
     def nearest(self, query: list[float], ef: int, probes: int) -> DataFrame:
         """Candidate ids from the ``probes`` nearest cells; all cells for inner products, whose best may lie far off."""
@@ -165,19 +168,28 @@ class AnnIndex:
         return self._walk([int(c) for c in some], q, ef).select("id")
 
     def within(self, query: list[float], radius: float) -> DataFrame | None:
-        """Candidate ids for a radius; None if no vector can lie inside."""
+        """Ids of all indexed vectors within a radius, and of some just outside; None if no vector can lie inside."""
         if not math.isfinite(radius) or (radius < 0 and self.op != "<#>"):
             return None
-        q = np.asarray([query], dtype=np.float64)
+        op, q = self.op, np.asarray(query, dtype=np.float64)
         some = self.cells
-        if self.op == "<->":
-            away = np.sqrt(np.maximum(-2 * _near("<->", q, self.centres)[0], 0))
-            some = self.cells[away - self.reach <= radius * (1 + SLACK) + SLACK]
+        if op == "<->":
+            some = self.cells[_away(q, self.centres) - self.reach <= radius * (1 + SLACK) + SLACK]
         if not len(some):
             return None
-        scale = 1 + float((q * q).sum())
-        least = {"<->": -radius * radius / 2 - SLACK * scale, "<=>": 1 - radius - SLACK, "<#>": -radius - SLACK * scale}[self.op]
-        return self._walk([int(c) for c in some], q, self.params.ef_search, least).select("id")
+        most, long = radius + SLACK * (1 + abs(radius)), float(np.sqrt(q @ q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column(0):
+                    ids, v = unpack_arrays(data.as_py())[:2]
+                    for at in range(0, len(ids), BLOCK):
+                        x = v[at : at + BLOCK].astype(np.float64)
+                        # sums of large products are rounded too
+                        loose = most + 1e-9 * long * np.sqrt((x * x).sum(axis=1)) if op == "<#>" else most
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BLOCK][kernel(op, x, q) <= loose])], names=["id"])
+
+        return self._of([int(c) for c in some]).mapInArrow(run, "id bigint")
 
     def many(self, queries: list[list[float]], ef: int) -> DataFrame:
         """(query, id): candidates of several queries in one pass over all cells."""

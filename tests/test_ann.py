@@ -63,6 +63,27 @@ def test_radius(filled):
         assert c.search_radius(x[3].tolist(), radius, approximate=True).count() == 0
 
 
+def test_radius_loses_no_row_that_links_do_not_lead_to(spark, tmp_path):
+    """Groups of copies fill each other's links, so beams stay in a few of them."""
+    c = Collection(spark, f"file://{tmp_path}/c", dim=4)
+    places = np.random.default_rng(2).normal(size=(20, 4)).round(2)
+    c.insert_many([(i, places[i % 20].tolist(), {}) for i in range(800)])
+    for op, radius in (("<->", 1.2), ("<=>", 0.4), ("<#>", -0.5)):
+        c.add_hnsw_index(op, HnswParams(m=4, m_max=4, m_max0=8, ef_construction=20))
+        q = places[3].tolist()
+        want = [r["id"] for r in c.search_radius(q, radius, op).collect()]
+        assert [r["id"] for r in c.search_radius(q, radius, op, approximate=True).collect()] == want and len(want) >= 80
+
+
+def test_radius_among_large_coordinates(spark, tmp_path):
+    """Vectors far from the origin and near each other: single precision of their products would hide the distances."""
+    c = Collection(spark, f"file://{tmp_path}/c", dim=2)
+    c.insert_many([(i, [4096.0 + i / 64, 8192.0], {}) for i in range(300)])
+    c.add_hnsw_index("<->")
+    q = [4096.0, 8192.0]
+    assert [r["id"] for r in c.search_radius(q, 2.0, approximate=True).collect()] == list(range(129))
+
+
 def test_changes_since_the_build(filled, spark):
     c = Collection(spark, filled[0].path)
     q = filled[1][0].tolist()
