@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import remove, scratch_folder
+from ..sources.scratch import remove, scratch_folder, settle
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -40,6 +40,7 @@ class Scratch:
             (writer.partitionBy(partition) if partition else writer).parquet(at)
         finally:
             conf.set(_CLEANUP, before)
+        settle(self.spark)
         columns = [f for f in df.schema.fields if f.name != partition] + [f for f in df.schema.fields if f.name == partition]
         out = self.spark.read.schema(T.StructType(columns)).parquet(at)
         out._scratch_path = at

@@ -13,6 +13,11 @@ from pyspark.sql import SparkSession
 _LOCAL: list[str] = []
 _MADE: dict[str, SparkSession] = {}
 
+#: Share of its limit that the driver's heap may hold between jobs; above it, growth since the last collection that is worth another.
+HEAP_SHARE = 0.4
+HEAP_GROWTH = 1.1
+_SETTLED = [0]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where driver and executors are one machine, a local folder will do."""
@@ -34,6 +39,20 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver's JVM give back the memory by which plans have grown its heap.
+
+    A plan is garbage once its job has run, but what the heap has grown by is only given back by a full
+    collection, which a driver of many short jobs hardly ever makes by itself.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    total = runtime.totalMemory()
+    _SETTLED[0] = min(_SETTLED[0], total)
+    if total > max(HEAP_SHARE * runtime.maxMemory(), HEAP_GROWTH * _SETTLED[0]):
+        spark._jvm.java.lang.System.gc()
+        _SETTLED[0] = runtime.totalMemory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,9 @@
 """The pipeline's stages one by one, against what each says it does."""
 
+import os
 import re
+import subprocess
+import sys
 
 import corpus_pipeline
 
@@ -30,3 +33,28 @@ def test_stages(spark, sf):
     assert tables[5].where("not round_trip").count() == 0
     run = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, run.select("doc_id", "n_tokens").collect())) == sorted(map(tuple, tables[5].select("doc_id", "n_tokens").collect()))
+
+
+GROWN = """
+import gc, time
+from pyspark.sql import SparkSession
+from corvane.llm.store import Scratch
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+heap = spark._jvm.java.lang.Runtime.getRuntime()
+scratch = Scratch(spark, "grown")
+held = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 100 << 20) for _ in range(4)]
+assert heap.totalMemory() > 400 << 20
+del held
+gc.collect()
+time.sleep(1)
+scratch.put(spark.range(3), "some")
+print("HEAP", heap.totalMemory() >> 20)
+"""
+
+
+def test_the_drivers_heap_is_given_back():
+    """What jobs have left behind doesn't keep the driver's heap grown for the jobs that follow."""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 1g pyspark-shell"}
+    said = subprocess.run([sys.executable, "-c", GROWN], env=env, capture_output=True, text=True, timeout=300)
+    assert "HEAP" in said.stdout, said.stderr[-800:]
+    assert int(said.stdout.split("HEAP")[1]) < 400
