@@ -26,6 +26,8 @@ from ..operators.stats import selectivity
 from .predicates import Compiler
 
 INDEX_SHARE = 0.3
+#: Above this limit the rows of the table are counted first.
+LARGE = 1 << 20
 
 
 class SelectPlan:
@@ -146,5 +148,7 @@ class SelectPlan:
         if keys:
             rows = rows.orderBy(*keys, self.c.id)
         if q.limit is not None:
-            rows = rows.limit(q.limit)
+            # a top-k sets aside room for twice its limit in each task: a limit beyond the table is the table's size
+            beyond = keys and q.limit > LARGE and not rows.isStreaming
+            rows = rows.limit(min(q.limit, self.c.rows().count()) if beyond else q.limit)
         return rows.select(*[c for i in q.items for c in self._item(i)])

@@ -75,6 +75,14 @@ def test_radius_loses_no_row_that_links_do_not_lead_to(spark, tmp_path):
         assert [r["id"] for r in c.search_radius(q, radius, op, approximate=True).collect()] == want and len(want) >= 80
 
 
+def test_a_limit_beyond_the_table_sets_no_room_aside(filled):
+    e = Engine(filled[0].spark, v=filled[0])
+    for ann_ in ("", " ANN"):
+        rows = e.execute(f"SELECT id FROM v WHERE embedding <-> $1 < 2.0 LIMIT 100000000{ann_}", Params(filled[1][3].tolist()))
+        assert "100000000" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["id"] for r in rows.collect()) == sorted(r["id"] for r in filled[0].search_radius(filled[1][3].tolist(), 2.0, inclusive=False).collect())
+
+
 def test_radius_among_large_coordinates(spark, tmp_path):
     """Vectors far from the origin and near each other: single precision of their products would hide the distances."""
     c = Collection(spark, f"file://{tmp_path}/c", dim=2)
